@@ -31,7 +31,9 @@ def stored(df: DataFrame) -> DataFrame:
         if not named and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    sc._jvm.System.gc()  # lets Spark delete the shuffle files that only the cut lineage needed
+    return out
 
 
 def connected(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -10,7 +10,7 @@ that share their context with another are settled, without looking at offsets; f
 on the edge of a match, each of the 101 offsets is refined by the identifier of
 its 200-byte string within the bucket. Covered ranges of all anchors of a text are united and cut.
 
-Bucket identifiers are 64-bit hashes of content (128-bit for contexts and whole texts), so they need no global order;
+Bucket identifiers are 64-bit hashes of content (contexts are told apart within a bucket only, texts have 96 bits), so they need no global order;
 every step is a combinable aggregation or equi-join. A bucket with over WIDE different contexts is
 refined through one row per offset and string instead of within one task.
 
@@ -67,12 +67,14 @@ def context(text: bytes, at: int) -> tuple[int, bytes]:
     return left, text[at - left : at + LENGTH]
 
 
-def context_key(left: int, part: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(part, seed=left)
+def context_key(left: int, part: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(part, seed=left)
 
 
-def text_key(text: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(text)
+def text_key(text: bytes) -> tuple[int, int]:
+    """64 and 32 bits; the second part leaves room for a position, so that an anchor is four longs."""
+    key = xxhash.xxh3_128_intdigest(text)
+    return (key & (2**64 - 1)) - 2**63, (key >> 64 & (2**32 - 1)) - 2**31
 
 
 def _each(batch, column: int):
@@ -84,42 +86,29 @@ def _each(batch, column: int):
             yield r, part
 
 
-def _anchor_rows(batches):
+def _anchor_rows(batches, places: bool):
+    """(q, c) of each anchor: bucket and context; with places also (k, place): the text's key, and the rest of the key and the position."""
+    names = ["q", "c", "k", "place"] if places else ["q", "c"]
     for batch in batches:
-        keys, ats, grams, contexts = [], [], [], []
+        rows: list[list] = [[] for _ in names]
+        n = 0
         for _, part in _each(batch, 0):
             if len(part) < LENGTH:
                 continue
             at, h = anchors(part)
             text = part.tobytes()
-            keys += [text_key(text)] * len(at)
-            ats.append(at)
-            grams.append(h)
-            contexts += [context_key(*context(text, i)) for i in at.tolist()]
-            if len(keys) > 1 << 16:
-                yield _rows(keys, ats, grams, contexts)
-                keys, ats, grams, contexts = [], [], [], []
-        if keys:
-            yield _rows(keys, ats, grams, contexts)
-
-
-def _rows(keys, ats, grams, contexts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(ats), pa.int64()), pa.array(np.concatenate(grams), pa.int64()), pa.array(contexts, pa.binary())], ["key", "at", "q", "c"])
-
-
-def _gram_rows(batches):
-    """q-gram hashes, with a 64-bit part of the context's key."""
-    for batch in batches:
-        grams, contexts = [], []
-        for _, part in _each(batch, 0):
-            if len(part) < LENGTH:
-                continue
-            at, h = anchors(part)
-            text = part.tobytes()
-            grams.append(h)
-            contexts += [context_key(*context(text, i))[:8] for i in at.tolist()]
-        if grams:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams), pa.int64()), pa.array(np.frombuffer(b"".join(contexts), np.int64))], ["q", "c"])
+            rows[0].append(h)
+            rows[1].append(np.array([context_key(*context(text, i)) for i in at.tolist()], np.uint64).view(np.int64))
+            if places:
+                k, more = text_key(text)
+                rows[2].append(np.full(len(at), k, np.int64))
+                rows[3].append((more << 32) + at)
+            n += len(at)
+            if n > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names)
+                rows, n = [[] for _ in names], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names)
 
 
 def _edge_contexts(batches):
@@ -132,7 +121,7 @@ def _edge_contexts(batches):
                 left, raw = context(text, at)
                 for x, y in zip(out, (q, c, left, raw), strict=True):
                     x.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["q", "c", "left", "raw"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["q", "c", "left", "raw"])
 
 
 def _string_ids(q: np.ndarray, left: np.ndarray, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,14 +152,14 @@ def _offsets(batches, finish: bool):
             ids, whole = _string_ids(q[lo : lo + len(part)], np.array([x[2] for x in part], np.int64), [x[3] for x in part])
             r, o = np.nonzero(whole)
             if not finish:
-                yield pa.RecordBatch.from_arrays([pa.array(q[lo + r]), pa.array([part[i][1] for i in r.tolist()], pa.binary()), pa.array(o.astype(np.int32)), pa.array(ids[r, o].view(np.int64))], ["q", "c", "o", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(q[lo + r]), pa.array([part[i][1] for i in r.tolist()], pa.int64()), pa.array(o.astype(np.int32)), pa.array(ids[r, o].view(np.int64))], ["q", "c", "o", "id"])
                 continue
             _, inverse, count = np.unique(ids[r, o], return_inverse=True, return_counts=True)
             again = count[inverse] > 1
             r, o = r[again], o[again]
             names, first = np.unique(r, return_index=True)
             lists = np.split(o.astype(np.int32), first[1:]) if len(names) else []
-            yield pa.RecordBatch.from_arrays([pa.array(q[names]), pa.array([part[i][1] for i in names.tolist()], pa.binary()), pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], ["q", "c", "offsets"])
+            yield pa.RecordBatch.from_arrays([pa.array(q[names]), pa.array([part[i][1] for i in names.tolist()], pa.int64()), pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], ["q", "c", "offsets"])
 
     for batch in batches:
         held += zip(*(x.to_pylist() for x in batch.columns), strict=True)
@@ -224,41 +213,43 @@ def _cut(batches, texts: bool = False):
 
 def _with_key(batches):
     for batch in batches:
-        keys = [text_key(part.tobytes()) for _, part in _each(batch, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary())], ["doc_id", "text", "key"])
+        keys = np.array([text_key(part.tobytes()) for _, part in _each(batch, 1)], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "text", "k", "more"])
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with texts=True the kept bytes, `kept`)."""
     docs = docs.select("doc_id", "text")
     only = docs.select("text")
-    grams = only.mapInArrow(_gram_rows, "q long, c long").groupBy("q").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
+    grams = only.mapInArrow(lambda it: _anchor_rows(it, False), "q long, c long").groupBy("q").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
     buckets = stored(grams.select("q", (F.col("lo") != F.col("hi")).alias("mixed")))
 
-    anchor = only.mapInArrow(_anchor_rows, "key binary, at long, q long, c binary")
-    hits = stored(anchor.join(buckets, "q").groupBy("key", "at", "q", "c", "mixed").agg(F.count("*").alias("n")))  # copies of a text meet here
-    counts = stored(hits.where("mixed").groupBy("q", "c").agg(F.sum("n").alias("n"), F.min(F.struct("key", "at")).alias("place")))
+    anchor = only.mapInArrow(lambda it: _anchor_rows(it, True), "q long, c long, k long, place long")
+    hits = stored(anchor.join(buckets, "q").groupBy("k", "place", "q", "c", "mixed").agg(F.count("*").alias("n")))  # copies of a text meet here
+    counts = stored(hits.where("mixed").groupBy("q", "c").agg(F.sum("n").alias("n"), F.min(F.struct("k", "place")).alias("first")))
     single = counts.where("n = 1").select("q").distinct()
     edges = counts.join(single, "q", "left_semi")  # contexts of buckets that are not settled
-    places = edges.select("place.key", "place.at", "q", "c").groupBy("key").agg(F.collect_list(F.struct("at", "q", "c")).alias("a"))
-    keyed = docs.mapInArrow(_with_key, "doc_id long, text string, key binary")
+    more, at = F.shiftright("place", 32), F.expr("place & 4294967295")
+    key = ["k", "more"]
+    places = edges.select("first.k", "first.place", "q", "c").groupBy("k", more.alias("more")).agg(F.collect_list(F.struct(at.alias("at"), "q", "c")).alias("a"))
+    keyed = docs.mapInArrow(_with_key, "doc_id long, text string, k long, more long")
     raw = (
-        keyed.join(places, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("a").alias("a")).select("text", "a.at", "a.q", "a.c")
-        .mapInArrow(_edge_contexts, "q long, c binary, left int, raw binary")
+        keyed.join(places, key).groupBy(*key).agg(F.first("text").alias("text"), F.first("a").alias("a")).select("text", "a.at", "a.q", "a.c")
+        .mapInArrow(_edge_contexts, "q long, c long, left int, raw binary")
     )
     raw = stored(raw)
     wide = stored(raw.groupBy("q").agg(F.count("*").alias("w")).where(F.col("w") > WIDE).select("q"))
-    some = raw.join(wide, "q", "left_anti").repartition("q").sortWithinPartitions("q").mapInArrow(lambda it: _offsets(it, True), "q long, c binary, offsets array<int>")
+    some = raw.join(wide, "q", "left_anti").repartition("q").sortWithinPartitions("q").mapInArrow(lambda it: _offsets(it, True), "q long, c long, offsets array<int>")
     if not wide.isEmpty():
-        each = stored(raw.join(wide, "q", "left_semi").mapInArrow(lambda it: _offsets(it, False), "q long, c binary, o int, id long"))
+        each = stored(raw.join(wide, "q", "left_semi").mapInArrow(lambda it: _offsets(it, False), "q long, c long, o int, id long"))
         again = each.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
         some = some.unionByName(each.join(again, "id").groupBy("q", "c").agg(F.collect_list("o").alias("offsets")))
     settled = counts.where("n > 1").select("q", "c", F.lit(None).cast("array<int>").alias("offsets"))
     of_context = settled.unionByName(some.join(counts.where("n > 1"), ["q", "c"], "left_anti"))
-    whole = hits.where("not mixed").select("key", "at", F.lit(None).cast("array<int>").alias("offsets"))
-    part = hits.where("mixed").join(of_context, ["q", "c"]).select("key", "at", "offsets")
-    marks = stored(whole.unionByName(part).groupBy("key").agg(F.collect_list(F.struct("at", "offsets")).alias("marks")))
-    done = keyed.join(marks, "key", "left").select("doc_id", "text", "marks")
+    whole = hits.where("not mixed").select("k", "place", F.lit(None).cast("array<int>").alias("offsets"))
+    part = hits.where("mixed").join(of_context, ["q", "c"]).select("k", "place", "offsets")
+    marks = stored(whole.unionByName(part).groupBy("k", more.alias("more")).agg(F.collect_list(F.struct(at.alias("at"), "offsets")).alias("marks")))
+    done = keyed.join(marks, key, "left").select("doc_id", "text", "marks")
     return done.mapInArrow(lambda it: _cut(it, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 
 
