@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -16,49 +17,78 @@ GROUP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # small Arrow batches bound the memory of Python workers, as texts may be long
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path in the folder the cluster names in spark.checkpoint.dir.
 
     Only a local session without that setting (tests) gets a folder of its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-"))
-    out = df.checkpoint()
-    sc._jvm.System.gc()  # lets Spark delete the shuffle files that only the cut lineage needed
+        named = f"file://{_local_folder()}"
+    return f"{named}/sparkloom-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="sparkloom-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage: write df as a compressed table in the shared folder and read it again."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    df.write.option("compression", "zstd").parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._stored_in = folder
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete shuffle files that only the cut lineage needed
     return out
 
 
-def connected(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def discard(*dfs: DataFrame) -> None:
+    """Delete stored tables that nothing later reads."""
+    for df in dfs:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_in)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Narrow rows (16 to 40 bytes) are broadcast up to this many; beyond it, they are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """`df`, a few narrow columns, to be broadcast if its rows are counted to be few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node of each connected component: columns (node, label), for nodes that have an edge.
 
     Rounds of minimum-label hooking and pointer jumping; every step is a combinable
-    aggregation or an equi-join, and each round is checkpointed.
+    aggregation or an equi-join, and each round's labels are stored.
     """
-    both = stored(
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-        .unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v")))
-        .where("u is not null and v is not null")
-        .distinct()
-    )
-    labels = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))
+    both = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct())
+    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")))
     while True:
-        seen = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v").groupBy("u").agg(F.min("lv").alias("near"))
-        near = labels.join(seen.withColumnRenamed("u", "node"), "node").select("node", "label", F.least("label", "near").alias("near"))
-        # hook: the old root of a node also learns of the smaller label
-        hooks = near.groupBy(F.col("label").alias("node")).agg(F.min("near").alias("hook"))
-        hooked = near.join(hooks, "node", "left").select("node", "label", F.least("near", F.coalesce("hook", "near")).alias("new"))
-        jump = hooked.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        new = stored(hooked.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("up", "new")).alias("label")))
+        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        near = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("near"))
+        # hook: a node's old label learns of the smaller one
+        hooks = near.where("near < label").groupBy(F.col("label").alias("node")).agg(F.min("near").alias("hook"))
+        hooked = stored(near.join(hooks, "node", "left").select("node", "label", F.least("near", F.coalesce("hook", "near")).alias("near")))
+        jump = hooked.select(F.col("node").alias("near"), F.col("near").alias("up"))
+        new = stored(hooked.join(jump, "near", "left").select("node", F.col("label").alias("old"), F.least("near", F.coalesce("up", "near")).alias("label")))
+        discard(hooked, labels)
         labels = new.select("node", "label")
+        labels._stored_in = new._stored_in
         if new.where("old <> label").isEmpty():
+            discard(both)
             return labels
 
 

@@ -19,12 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import stored, table
+from sparkloom.llm.common import bounded, stored, table
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.75
-#: The benchmark's sketches, and ids of candidates, are broadcast up to this many rows (16 to 40 bytes each); beyond it, they are shuffled.
-BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,11 +66,6 @@ def sketches(items: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """`df`, to be broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def contained(docs: DataFrame, items: DataFrame, key: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """Rows (*key, item_id, n_item_shingles, n_common, containment) for contained items.
 

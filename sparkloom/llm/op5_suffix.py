@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import mix, prefix_hash, row_groups, stored, table, text_buffers
+from sparkloom.llm.common import discard, mix, prefix_hash, row_groups, stored, table, text_buffers
 
 LENGTH, GRAM = 200, 100
 SPAN = LENGTH - GRAM + 1
@@ -249,6 +249,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     whole = hits.where("not mixed").select("k", "place", F.lit(None).cast("array<int>").alias("offsets"))
     part = hits.where("mixed").join(of_context, ["q", "c"]).select("k", "place", "offsets")
     marks = stored(whole.unionByName(part).groupBy("k", more.alias("more")).agg(F.collect_list(F.struct(at.alias("at"), "offsets")).alias("marks")))
+    discard(buckets, hits, counts, raw, wide)
     done = keyed.join(marks, key, "left").select("doc_id", "text", "marks")
     return done.mapInArrow(lambda it: _cut(it, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SPACED, Words, connected, mix, row_groups, shingle_hashes, stored, table, text_buffers
+from sparkloom.llm.common import SPACED, Words, bounded, connected, discard, mix, row_groups, shingle_hashes, stored, table, text_buffers
 
 COORDS, MIN_MATCHES = 16, 4
 PREFIX = COORDS - MIN_MATCHES + 1
@@ -72,6 +72,11 @@ def _batch(keys, sizes, lists, kind) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, values)], ["key", "n", "items"])
 
 
+def post_number() -> Column:
+    """The (coordinate, value) pair as one long."""
+    return F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long")
+
+
 def size_fits(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
@@ -80,75 +85,80 @@ def matches(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def plausible(a: str, b: str) -> Column:
-    return size_fits(F.col(f"{a}.n"), F.col(f"{b}.n")) & (matches(F.col(f"{a}.sig"), F.col(f"{b}.sig")) >= MIN_MATCHES)
+def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sizes allow a link and whose whole signatures collide often enough."""
+    x = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    y = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    ok = size_fits(F.col("na"), F.col("nb")) & (matches(F.col("sa"), F.col("sb")) >= MIN_MATCHES)
+    return pairs.join(x, "a").join(y, "b").where(ok).select("a", "b")
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class keys whose full sets are similar enough."""
-    need = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = classes.join(need, "key").select(F.col("rep").alias("_rep"))
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_rep"]), "left_semi").select("doc_id", "text")
-    # a repeated doc_id may bring other texts along: only one set of each key is kept
-    sets = texts.mapInArrow(lambda it: _sets(it, True), "key binary, n long, items array<long>").where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("items").alias("items"))
-    sets = stored(sets)
-    x, y = sets.alias("x"), sets.alias("y")
-    inter = F.size(F.array_intersect(F.col("x.items"), F.col("y.items")))
-    both = pairs.join(x, F.col("a") == F.col("x.key")).join(y, F.col("b") == F.col("y.key"))
-    return both.where(100 * inter >= PERCENT * (F.col("x.n") + F.col("y.n") - inter)).select("a", "b")
+    """The pairs (a, b) of nodes whose full sets are similar enough. pairs is stored."""
+    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = stored(classes.join(need, "node").select("node", "key", "rep"))
+    few = bounded(ids.select(F.col("rep").alias("_rep")).distinct())
+    texts = docs.join(few, docs["doc_id"].eqNullSafe(few["_rep"]), "left_semi").select("doc_id", "text")
+    # a repeated doc_id may bring other texts along, or one twice: one set of each needed key is kept
+    sets = texts.mapInArrow(lambda it: _sets(it, True), "key binary, n long, items array<long>").join(ids.select("key", "node"), "key")
+    sets = stored(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items")))
+    x = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("xa"))
+    y = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("xb"))
+    inter = F.size(F.array_intersect("xa", "xb"))
+    out = stored(pairs.join(x, "a").join(y, "b").where(100 * inter >= PERCENT * (F.col("na") + F.col("nb") - inter)).select("a", "b"))
+    discard(sets, ids)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     rows = stored(docs.mapInArrow(lambda it: _sets(it, False), "doc_id long, key binary, n long, sig array<int>"))
-    classes = stored(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    # once stored, node numbers stay
+    classes = stored(
+        rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id())
+    )
 
     # star round
-    post = classes.select("key", "n", "sig", F.posexplode(F.slice("sig", 1, PREFIX)).alias("c", "v"))
-    order = F.struct(F.xxhash64("key").alias("o"), "key", "n", "sig")
-    hubs = post.groupBy("c", "v").agg(F.count("*").alias("size"), F.min(order).alias("h")).where("size > 1")
-    star = (
-        post.alias("m").join(hubs.alias("b"), ["c", "v"])
-        .where(F.col("m.key") != F.col("h.key"))
-        .where(size_fits(F.col("m.n"), F.col("h.n")) & (matches(F.col("m.sig"), F.col("h.sig")) >= MIN_MATCHES))
-        .select(F.col("m.key").alias("a"), F.col("h.key").alias("b")).distinct()
-    )
-    links = stored(confirmed(docs, classes, stored(star)))
-    first = connected(spark, links)
+    post = classes.select("node", F.posexplode(F.slice("sig", 1, PREFIX)).alias("c", "v")).select("node", post_number().alias("p"))
+    hubs = post.groupBy("p").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
+    star = post.join(hubs.select("p", "hub"), "p").where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("posts")).select("a", "b")
+    star = stored(plausible(star, classes))
+    links = confirmed(docs, classes, star)
+    first = connected(links)
 
     # rest: members of one post in different components
-    comp = classes.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("label", "key")).drop("label", "rep")
-    level = comp.select("key", "n", "sig", "comp", F.posexplode(F.slice("sig", 1, PREFIX)).alias("c", "v")).withColumn("p", F.xxhash64("c", "v")).drop("v")
-    found = []
+    comp = stored(classes.select("node", "n", "sig").join(first, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"))
+    level = comp.select("node", "n", "comp", F.posexplode(F.slice("sig", 1, PREFIX)).alias("c", "v")).withColumn("p", post_number()).drop("v")
+    found, levels = [], []
     for depth in range(LEVELS):
         count = level.groupBy("p").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         level = stored(level.join(count.select("p", "size"), "p"))
+        levels.append(level)
         now = level if depth == LEVELS - 1 else level.where(F.col("size") <= SPLIT)
         a, b = now.alias("a"), now.alias("b")
-        found.append(
-            a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & plausible("a", "b"))
-            .select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
-        )
+        pair = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & size_fits(F.col("a.n"), F.col("b.n")))
+        found.append(pair.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
         level = level.where(F.col("size") > SPLIT).drop("size")
         if depth == LEVELS - 1 or level.isEmpty():
             break
         steps = F.array(*[F.struct(((F.col("c") + k) % COORDS).alias("c"), F.get("sig", (F.col("c") + k) % COORDS).alias("v")) for k in range(1, WINDOW + 1)])
-        level = level.withColumn("s", F.explode(steps)).withColumn("p", F.xxhash64("p", "s.c", "s.v")).withColumn("c", F.col("s.c")).drop("s")
+        level = level.join(comp.select("node", "sig"), "node").withColumn("s", F.explode(steps)).select("node", "n", "comp", F.col("s.c").alias("c"), F.xxhash64("p", "s.c", "s.v").alias("p"))
     rest = found[0]
     for more in found[1:]:
         rest = rest.unionByName(more)
-    rest = stored(rest.distinct())
+    rest = stored(plausible(rest.distinct(), classes))
     nodes = first
     if not rest.isEmpty():
-        more = stored(confirmed(docs, classes, rest))
+        more = confirmed(docs, classes, rest)
         if not more.isEmpty():
-            nodes = connected(spark, links.unionByName(more))
+            nodes = connected(links.unionByName(more))
+    discard(star, comp, rest, *levels)
 
-    named = rows.where("n > 0").select("doc_id", "key", "n").join(nodes.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    ids = classes.join(nodes.withColumnRenamed("node", "key"), "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("rep").alias("component_id"))
-    out = named.join(ids, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = classes.select("key", "node", "rep").join(nodes, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("label"))
+    ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    of_key = stored(named.join(ids, "label").select("key", "component_id"))
+    out = rows.where("n > 0").select("doc_id", "key", F.col("n").alias("n_shingles")).join(of_key, "key").drop("key")
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -18,12 +18,14 @@ repeated rows are packed once each; null doc_ids are kept; extra columns are ign
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,11 +36,19 @@ END_ID = 2
 POOL_TOKENS = 1 << 20
 GROUP_TOKENS = 1 << 16
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept with their ids by a worker; beyond it, the cache starts anew with the next group of texts.
-CACHE_WORDS = 200_000
+#: Words kept with their ids by a worker (about 200 MB); beyond it, the cache starts anew with the next group of texts.
+CACHE_WORDS = 800_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context_size int, step_group long"
 
 
+def _class(kind: str) -> str:
+    return "".join(f"\\u{c:04x}" for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: The vocabulary's own division of lower-case words, for characters below U+0250.
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+")
+
+
 class FastTokenizer:
     """The tokenizer's ids, word by word from a cache where that is sure to be the same.
 
@@ -53,30 +63,56 @@ class FastTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.cache: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Cache the ids of new words, from one call over all of them: a token belongs to the word it begins in."""
-        new = [w for w in words if w not in self.cache]
-        if not new:
-            return
-        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids = np.array(found.ids, np.uint32)
-        begins = np.cumsum([0] + [len(w) + 1 for w in new])
-        cuts = np.searchsorted(np.array([x for x, _ in found.offsets], np.int64), begins)
-        raw, at = ids.tobytes(), (4 * cuts).tolist()
-        self.cache.update(zip(new, (raw[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
+        self.words: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Cache the ids of new words, from those of the pieces that the vocabulary never merges across.
+
+        One call encodes all new pieces: a token belongs to the piece it begins in.
+        """
+        cut = [(w, PIECES.findall(w)) for w in words if w not in self.words]
+        new = list({x for _, parts in cut for x in parts if x not in self.pieces})
+        if new:
+            found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            begins = np.cumsum([0] + [len(w) + 1 for w in new])
+            cuts = np.searchsorted(np.array([x for x, _ in found.offsets], np.int64), begins)
+            raw, at = ids.tobytes(), (4 * cuts).tolist()
+            self.pieces.update(zip(new, (raw[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
+        get = self.pieces.__getitem__
+        for w, parts in cut:
+            self.words[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [None if "<|" in t or not self.SAFE.fullmatch(t) else t.lower().split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        self.learn({w for words in plain if words for w in words})
-        get = self.cache.__getitem__
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if words is None else np.frombuffer(b"".join(map(get, words)), np.uint32)
-            for t, words in zip(texts, plain, strict=True)
-        ]
+        plain = [i for i, t in enumerate(texts) if "<|" not in t and self.SAFE.fullmatch(t)]
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.pieces = {"": b""}, {}
+        out: list = [None] * len(texts)
+        if plain:
+            split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([texts[i] for i in plain], pa.string())))
+            bounds = split.offsets.to_numpy()
+            coded = split.flatten().dictionary_encode()
+            words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            self.learn(words)
+            found = [self.words[w] for w in words]
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            ids, first = np.frombuffer(b"".join(found), np.uint32), np.cumsum(sizes) - sizes
+            each = sizes[codes]
+            ends = np.concatenate(([0], np.cumsum(each)))
+            flat = ids[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])]
+            for i, x, y in zip(plain, ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist(), strict=True):
+                out[i] = flat[x:y]
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+        return out
+
+
+@functools.lru_cache(1)
+def tokenizer_of(path: str) -> FastTokenizer:
+    """One for a worker process, so that later tasks find its cache."""
+    return FastTokenizer(path)
 
 
 class Packer:
@@ -205,12 +241,12 @@ def pack(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...]
             import public_tokenizers
 
             path = public_tokenizers.path(VOCABULARY)
-        tokens, packer = FastTokenizer(path), Packer(TaskContext.get().partitionId(), tiers)
+        tokens, packer = tokenizer_of(path), Packer(TaskContext.get().partitionId(), tiers)
         end = np.array([END_ID], np.uint32)
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
             ids = batch.column(0).to_pylist()
-            for lo, hi in row_groups(offsets):
+            for lo, hi in row_groups(offsets, 4 << 20):
                 texts = [x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 for doc_id, found in zip(ids[lo:hi], tokens(texts), strict=True):
                     packer.add(doc_id, np.concatenate((found, end)))
