@@ -6,11 +6,9 @@ last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm.common import stored, table
+from sparkloom.llm.common import shared_folder, table
 from sparkloom.llm.op1_quality import drop_rejected
 from sparkloom.llm.op6_minhash import drop_near_duplicates
 from sparkloom.llm.op7_packing import pack
@@ -53,8 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; each result is written as Parquet in the shared checkpoint folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    stored(spark.range(1))  # sets the checkpoint folder where a local session has none
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
