@@ -57,7 +57,7 @@ class FastTokenizer:
     token, go to the tokenizer as a whole.
     """
 
-    SAFE = re.compile("[\t\n\r\x0b\x0c -~¡-¬®-įı-ŉŊ-ǃǍ-ǰǴ-ɏ]*")
+    SAFE = re.compile("[\\t\\n\\r\\x0b\\x0c -~\\u00a1-\\u00ac\\u00ae-\\u012f\\u0131-\\u0148\\u014a-\\u017e]*")
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
