@@ -125,7 +125,7 @@ def date_phrase(text: str, now: datetime, week_start: str = "monday") -> tuple[d
         left, right = t.split(" until ", 1)
         bound = lambda s: (datetime.fromisoformat(s),) * 2 if _LITERAL.match(s) else date_phrase(s, now, ws)
         a, b = bound(left.strip()), bound(right.strip())
-        return (a[0], b[0]) if a and b else None
+        return (a[0], b[1]) if a and b else None
     if t in ("today", "yesterday"):
         day = now - timedelta(days=t == "yesterday")
         return start_of("day", day), end_of("day", day)

@@ -18,6 +18,7 @@ from sparkloom.operators.single import SingleQuery, ordered, parse_order, walk
 from sparkloom.plans.project import FORMULAS, REFERENCE, Field
 
 SPINE_START = "2000-01-01"
+FRAMES = ("date", "week", "month", "quarter", "year", "fiscal_month", "fiscal_quarter", "fiscal_year")
 
 
 def spine(engine, frame: str, start: str = SPINE_START) -> DataFrame:
@@ -89,6 +90,8 @@ def one(engine, m: Field, dims: list[Field], where: list, rest: dict) -> DataFra
     frame = time.variant if time else "date"
     if frame == "raw":
         frame = "date"
+    if frame not in FRAMES:
+        raise QueryError(f"{m.id} can't run over {frame}; valid are: {', '.join(FRAMES)}")
     event = p.get_field(f"{date.view.name}.{date.name}_{frame}", check=False)
     q = SingleQuery(engine, metrics=[a.id for a in parts], dimensions=[d.id for d in by], where=others, force_group_by=True, **rest)
     q.dims = [*by, event]
@@ -110,7 +113,8 @@ def one(engine, m: Field, dims: list[Field], where: list, rest: dict) -> DataFra
         met = rows.join(F.broadcast(periods), F.expr(f"__t <= period AND ({test})"))  # the spine has a fixed number of days
         grouped = met.groupBy(*keys, "period").agg(*[aggregate(a, f"__x{i}").alias(f"__v{i}") for i, a in enumerate(parts)])
     else:
-        grouped = running(rows, keys, parts, periods)
+        first = F.expr(s.row(event).replace(s.row(date), f"timestamp_ntz'{SPINE_START}'"))
+        grouped = running(rows.withColumn("__t", F.greatest("__t", first)), keys, parts, periods)  # what lies before the spine is in its first period
     out = grouped
     if time is None:
         last = Window.partitionBy(*keys).orderBy(F.desc("period")) if keys else Window.orderBy(F.desc("period"))

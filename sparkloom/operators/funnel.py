@@ -17,9 +17,9 @@ from sparkloom.operators.single import SingleQuery, ordered, parse_order
 from sparkloom.plans.project import Field
 
 
-def link_of(q: SingleQuery) -> Field:
-    """The field tagged `customer` that the query's views reach."""
-    reach = q.project.graph.reach(q.base)
+def link_of(q: SingleQuery, view: str | None = None) -> Field:
+    """The field tagged `customer` that the query's base (or another view) reaches."""
+    reach = q.project.graph.reach(view or q.base)
     f = q.project.field_by_tag("customer", sorted(reach))
     if f is None:
         raise QueryError("a funnel needs a field with the tag customer in reach of its views")

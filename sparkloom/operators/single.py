@@ -108,7 +108,11 @@ class SingleQuery:
                 for n in REFERENCE.findall(c):
                     views |= dict.fromkeys(self.project.get_field(n, topic=self.topic).views())
             elif "field" in c:
-                if c.get("group_by"):
+                if c.get("expression") in FUNNELS:
+                    from sparkloom.operators.funnel import link_of
+
+                    views |= dict.fromkeys(link_of(self, self.field_of(c).view.name).views())
+                elif c.get("group_by"):
                     views |= dict.fromkeys(self.project.get_field(c["group_by"], topic=self.topic).views())
                 else:
                     views |= dict.fromkeys(self.field_of(c).views())
@@ -192,7 +196,7 @@ class SingleQuery:
         if c.get("expression") in FUNNELS and not c.get("group_by"):
             from sparkloom.operators.funnel import link_of
 
-            return self.scope.row(link_of(self))
+            return self.scope.row(link_of(self, self.field_of(c).view.name))
         return self.scope.row(self.project.get_field(c["group_by"]) if c.get("group_by") else self.field_of(c))
 
     def filtered(self, df: DataFrame) -> DataFrame:
