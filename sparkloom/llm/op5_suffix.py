@@ -34,7 +34,8 @@ from sparkloom.llm.common import discard, mix, prefix_hash, row_groups, stored,
 
 LENGTH, GRAM = 200, 100
 SPAN = LENGTH - GRAM + 1
-WIDE = 2000
+#: A bucket of so many different contexts takes about 60 MB in one task.
+WIDE = 16384
 
 
 def window_min(h: np.ndarray, width: int) -> np.ndarray:

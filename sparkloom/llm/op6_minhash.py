@@ -3,16 +3,18 @@
 A document's set is its distinct 5-word shingles (of fewer words: the whole sequence). Texts
 with the same set form one class, so copies are never expanded into pairs. Every class is
 posted under its (coordinate, MinHash value) pairs; since linked classes share at least
-MIN_MATCHES of COORDS coordinates (at similarity 0.75 all but about 4 in a million do), the
+MIN_MATCHES of COORDS coordinates (at similarity 0.75 all but about 4 in a million do; of those that meet in over-full posts only, all but 1.5 in 10,000), the
 first COORDS - MIN_MATCHES + 1 coordinates suffice (prefix). Pairs that share a post are
 candidates when the sizes allow the link and at least MIN_MATCHES whole-signature
 coordinates collide; each is confirmed by exact intersection of the full sets.
 
 1. Star round: each post's members are paired with one hub only, and components are formed.
 2. Rest: only members of one post that are still in different components are paired
-   (skip merging). A post of over SPLIT members is divided by the next coordinates that a
-   linked pair must nearly surely share too, so common passages do not pair everyone with
-   everyone; at the last level what is left is paired whatever its number, so nothing is dropped.
+   (skip merging), and members linked to a hub are represented by it, their pivot: as 1 -
+   similarity is a metric, the pivots' exact distance tells which members could be linked at all. A
+   post of over SPLIT pivots is divided by the next coordinates that a linked pair nearly surely
+   shares too, so common passages do not pair everyone with everyone; at the last level what
+   is left is paired whatever its number, so nothing is dropped.
 
 Defined cases: null, empty or blank texts have an empty set and are linked with nothing;
 repeated rows and repeated doc_ids are one class if their sets agree, and each row gets its
@@ -32,7 +34,7 @@ from sparkloom.llm.common import SPACED, Words, bounded, connected, discard, mix
 
 COORDS, MIN_MATCHES = 16, 4
 PREFIX = COORDS - MIN_MATCHES + 1
-SPLIT, LEVELS, WINDOW = 48, 4, 3
+SPLIT, LEVELS, WINDOW = 8, 4, 4
 PERCENT = 75
 _MULT = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -93,8 +95,8 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(ok).select("a", "b")
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough. pairs is stored."""
+def similarities(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact sizes of the pairs' intersections and unions. pairs is stored and has nodes a and b; its other columns stay."""
     need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids = stored(classes.join(need, "node").select("node", "key", "rep"))
     few = bounded(ids.select(F.col("rep").alias("_rep")).distinct())
@@ -104,12 +106,17 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     sets = stored(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items")))
     x = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("xa"))
     y = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("xb"))
-    inter = F.size(F.array_intersect("xa", "xb"))
-    out = stored(pairs.join(x, "a").join(y, "b").where(100 * inter >= PERCENT * (F.col("na") + F.col("nb") - inter)).select("a", "b"))
+    both = pairs.join(x, "a").join(y, "b").withColumn("inter", F.size(F.array_intersect("xa", "xb")).cast("long"))
+    out = stored(both.withColumn("both", F.col("na") + F.col("nb") - F.col("inter")).drop("xa", "xb", "na", "nb"))
     discard(sets, ids)
     return out
 
 
+def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links among the pairs: a, b and the distance 1 - similarity."""
+    return similarities(docs, classes, pairs).where(100 * F.col("inter") >= PERCENT * F.col("both")).select("a", "b", (1 - F.col("inter") / F.col("both")).alias("d"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
@@ -127,33 +134,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = confirmed(docs, classes, star)
     first = connected(links)
 
-    # rest: members of one post in different components
-    comp = stored(classes.select("node", "n", "sig").join(first, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"))
-    level = comp.select("node", "n", "comp", F.posexplode(F.slice("sig", 1, PREFIX)).alias("c", "v")).withColumn("p", post_number()).drop("v")
+    # rest: members of one post in different components, by way of their pivots
+    near = links.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("d", F.col("b").alias("pivot"))).alias("m")).select("node", "m.d", "m.pivot")
+    comp = classes.select("node", "n", "sig").join(first, "node", "left").join(near, "node", "left")
+    comp = stored(comp.select("node", "n", "sig", F.coalesce("label", "node").alias("comp"), F.coalesce("pivot", "node").alias("pivot"), F.coalesce("d", F.lit(0.0)).alias("d")))
+    level = comp.select("node", "n", "comp", "pivot", F.posexplode(F.slice("sig", 1, PREFIX)).alias("c", "v")).withColumn("p", post_number()).drop("v")
     found, levels = [], []
     for depth in range(LEVELS):
-        count = level.groupBy("p").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        level = stored(level.join(count.select("p", "size"), "p"))
-        levels.append(level)
-        now = level if depth == LEVELS - 1 else level.where(F.col("size") <= SPLIT)
+        groups = stored(level.groupBy("p", "pivot").agg(F.first("comp").alias("comp"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+        size = groups.groupBy("p").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("p", "size")
+        size = stored(size)
+        levels += [groups, size]
+        now = groups.join(size if depth == LEVELS - 1 else size.where(F.col("size") <= SPLIT), "p")
         a, b = now.alias("a"), now.alias("b")
-        pair = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & size_fits(F.col("a.n"), F.col("b.n")))
-        found.append(pair.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-        level = level.where(F.col("size") > SPLIT).drop("size")
-        if depth == LEVELS - 1 or level.isEmpty():
+        fits = (100 * F.col("a.hi") >= PERCENT * F.col("b.lo")) & (100 * F.col("b.hi") >= PERCENT * F.col("a.lo"))
+        pair = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.pivot") < F.col("b.pivot")) & (F.col("a.comp") != F.col("b.comp")) & fits)
+        found.append(stored(pair.select(F.col("a.pivot").alias("a"), F.col("b.pivot").alias("b")).distinct()))
+        if depth == LEVELS - 1 or size.where(F.col("size") > SPLIT).isEmpty():
             break
         steps = F.array(*[F.struct(((F.col("c") + k) % COORDS).alias("c"), F.get("sig", (F.col("c") + k) % COORDS).alias("v")) for k in range(1, WINDOW + 1)])
-        level = level.join(comp.select("node", "sig"), "node").withColumn("s", F.explode(steps)).select("node", "n", "comp", F.col("s.c").alias("c"), F.xxhash64("p", "s.c", "s.v").alias("p"))
+        level = level.join(size.where(F.col("size") > SPLIT).select("p"), "p").join(comp.select("node", "sig"), "node").withColumn("s", F.explode(steps))
+        level = stored(level.select("node", "n", "comp", "pivot", F.col("s.c").alias("c"), F.xxhash64("p", "s.c", "s.v").alias("p")))
+        levels.append(level)
     rest = found[0]
     for more in found[1:]:
         rest = rest.unionByName(more)
-    rest = stored(plausible(rest.distinct(), classes))
     nodes = first
+    rest = stored(plausible_members(docs, classes, comp, rest.distinct()))
     if not rest.isEmpty():
         more = confirmed(docs, classes, rest)
         if not more.isEmpty():
             nodes = connected(links.unionByName(more))
-    discard(star, comp, rest, *levels)
+    discard(star, comp, rest, *levels, *found)
 
     named = classes.select("key", "node", "rep").join(nodes, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -163,6 +175,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def plausible_members(docs: DataFrame, classes: DataFrame, comp: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Pairs of nodes to be confirmed, of the pairs (a, b) of pivots.
+
+    1 - similarity is a metric: members x of pivot a and y of pivot b can be linked only if
+    the pivots' distance is at most 0.25 + d(x, a) + d(y, b). Pairs of pivots without other members are
+    passed on; for others the pivots' exact distance decides which members are paired.
+    """
+    limit = 1 - PERCENT / 100
+    radius = stored(comp.groupBy("pivot").agg(F.max("d").alias("r"), F.max((F.col("node") != F.col("pivot")).cast("int")).alias("group")))
+    known = pivots.join(radius.select(F.col("pivot").alias("a"), F.col("r").alias("ra"), F.col("group").alias("ga")), "a").join(radius.select(F.col("pivot").alias("b"), F.col("r").alias("rb"), F.col("group").alias("gb")), "b")
+    known = stored(known.withColumn("far", limit + F.col("ra") + F.col("rb") + 1e-9))
+    single = known.where("ga = 0 and gb = 0").select("a", "b")
+    x = classes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
+    y = classes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
+    # collisions that all but some ten in a million pairs of that distance have
+    least = F.when(F.col("far") <= limit + 1e-6, MIN_MATCHES).when(F.col("far") <= 0.4, 2).otherwise(1)
+    wide = stored(known.where("ga = 1 or gb = 1").join(x, "a").join(y, "b").where((matches(F.col("sa"), F.col("sb")) >= least) | (F.col("far") > 0.5)).select("a", "b", "far"))
+    out = single
+    if not wide.isEmpty():
+        close = similarities(docs, classes, wide).withColumn("dab", 1 - F.col("inter") / F.col("both")).where("dab <= far").select("a", "b", "dab")
+        one = comp.select(F.col("pivot").alias("a"), F.col("node").alias("na"), F.col("d").alias("da"))
+        two = comp.select(F.col("pivot").alias("b"), F.col("node").alias("nb"), F.col("d").alias("db"))
+        members = close.join(one, "a").join(two, "b").where(F.col("dab") <= limit + F.col("da") + F.col("db") + 1e-9)
+        out = out.unionByName(members.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))).distinct()
+    return plausible(out, classes)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
