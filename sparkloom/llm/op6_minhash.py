@@ -3,7 +3,7 @@
 A document's set is its distinct 5-word shingles (of fewer words: the whole sequence). Texts
 with the same set form one class, so copies are never expanded into pairs. Every class is
 posted under its (coordinate, MinHash value) pairs; since linked classes share at least
-MIN_MATCHES of COORDS coordinates (at similarity 0.75 all but about 4 in a million do; of those that meet in over-full posts only, all but 1.5 in 10,000), the
+MIN_MATCHES of COORDS coordinates (at similarity 0.75 all but about 4 in a million do; of those that meet in over-full posts only, all but 8 in 10,000), the
 first COORDS - MIN_MATCHES + 1 coordinates suffice (prefix). Pairs that share a post are
 candidates when the sizes allow the link and at least MIN_MATCHES whole-signature
 coordinates collide; each is confirmed by exact intersection of the full sets.
@@ -11,8 +11,8 @@ coordinates collide; each is confirmed by exact intersection of the full sets.
 1. Star round: each post's members are paired with one hub only, and components are formed.
 2. Rest: only members of one post that are still in different components are paired
    (skip merging), and members linked to a hub are represented by it, their pivot: as 1 -
-   similarity is a metric, the pivots' exact distance tells which members could be linked at all. A
-   post of over SPLIT pivots is divided by the next coordinates that a linked pair nearly surely
+   similarity is a metric, the pivots' exact distance tells which members could be linked at all.
+   Posts are divided by size bands, of which linked sizes share one. A post of over SPLIT pivots is divided by the next coordinates that a linked pair nearly surely
    shares too, so common passages do not pair everyone with everyone; at the last level what
    is left is paired whatever its number, so nothing is dropped.
 
@@ -34,7 +34,7 @@ from sparkloom.llm.common import SPACED, Words, bounded, connected, discard, mix
 
 COORDS, MIN_MATCHES = 16, 4
 PREFIX = COORDS - MIN_MATCHES + 1
-SPLIT, LEVELS, WINDOW = 8, 4, 4
+SPLIT, LEVELS, WINDOW = 8, 4, 3
 PERCENT = 75
 _MULT = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -138,10 +138,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = links.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("d", F.col("b").alias("pivot"))).alias("m")).select("node", "m.d", "m.pivot")
     comp = classes.select("node", "n", "sig").join(first, "node", "left").join(near, "node", "left")
     comp = stored(comp.select("node", "n", "sig", F.coalesce("label", "node").alias("comp"), F.coalesce("pivot", "node").alias("pivot"), F.coalesce("d", F.lit(0.0)).alias("d")))
-    level = comp.select("node", "n", "comp", "pivot", F.posexplode(F.slice("sig", 1, PREFIX)).alias("c", "v")).withColumn("p", post_number()).drop("v")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))  # linked sizes are in one band or in neighbours
+    level = comp.select("n", "comp", "pivot", F.explode(F.array(band, band + 1)).alias("band"), F.slice("sig", 1, PREFIX).alias("s"))
+    level = level.select("n", "comp", "pivot", "band", F.posexplode("s").alias("c", "v")).select("pivot", "comp", "c", F.xxhash64("c", "v", "band").alias("p"), F.col("n").alias("lo"), F.col("n").alias("hi"))
     found, levels = [], []
     for depth in range(LEVELS):
-        groups = stored(level.groupBy("p", "pivot").agg(F.first("comp").alias("comp"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+        groups = stored(level.groupBy("p", "c", "pivot").agg(F.first("comp").alias("comp"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
         size = groups.groupBy("p").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("p", "size")
         size = stored(size)
         levels += [groups, size]
@@ -153,9 +155,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if depth == LEVELS - 1 or size.where(F.col("size") > SPLIT).isEmpty():
             break
         steps = F.array(*[F.struct(((F.col("c") + k) % COORDS).alias("c"), F.get("sig", (F.col("c") + k) % COORDS).alias("v")) for k in range(1, WINDOW + 1)])
-        level = level.join(size.where(F.col("size") > SPLIT).select("p"), "p").join(comp.select("node", "sig"), "node").withColumn("s", F.explode(steps))
-        level = stored(level.select("node", "n", "comp", "pivot", F.col("s.c").alias("c"), F.xxhash64("p", "s.c", "s.v").alias("p")))
-        levels.append(level)
+        over = groups.join(size.where(F.col("size") > SPLIT).select("p"), "p").join(comp.select(F.col("node").alias("pivot"), "sig"), "pivot")
+        level = over.withColumn("s", F.explode(steps)).select("pivot", "comp", F.col("s.c").alias("c"), F.xxhash64("p", "s.c", "s.v").alias("p"), "lo", "hi")
     rest = found[0]
     for more in found[1:]:
         rest = rest.unionByName(more)
