@@ -19,7 +19,7 @@ counts, the pivots (at most PIVOTS, from a bounded sample), and M reach the driv
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor rows
 with a null vec_id; vectors are compared with those of their own length only, a length at a time; repeated vec_ids are
-rows of their own (a query's own row leaves by id, so all rows of its id do); ties go to the smaller vec_id; extra
+rows of their own, scores beyond a long are an error (a query's own row leaves by id, so all rows of its id do); ties go to the smaller vec_id; extra
 columns are ignored; an empty table gives no rows.
 """
 
