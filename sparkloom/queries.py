@@ -45,7 +45,7 @@ LOC = f"{LO} LEFT JOIN customer ON o_custkey = c_custkey"
 # ---- aggregates
 add("simple_sum_by_dim", f"SELECT l_returnflag AS lineitem_returnflag, {R('sum(l_extendedprice)')} AS lineitem_revenue FROM lineitem WHERE l_quantity > 25 GROUP BY 1", q("lineitem.revenue", "lineitem.returnflag", where=[{"field": "lineitem.quantity", "expression": "greater_than", "value": 25}]))
 add("simple_all_aggs", f"SELECT l_returnflag AS lineitem_returnflag, count(*) AS lineitem_lines, count(DISTINCT l_partkey) AS lineitem_parts_sold, {R('sum(l_extendedprice)')} AS lineitem_revenue, {R('avg(l_extendedprice)')} AS lineitem_avg_price, {R('min(l_extendedprice)')} AS lineitem_min_price, {R('max(l_extendedprice)')} AS lineitem_max_price FROM lineitem GROUP BY 1", q("lineitem.lines lineitem.parts_sold lineitem.revenue lineitem.avg_price lineitem.min_price lineitem.max_price", "lineitem.returnflag"))
-add("median_percentile", f"SELECT l_returnflag AS lineitem_returnflag, {R('median(l_extendedprice)')} AS lineitem_median_price, {R('quantile_cont(l_extendedprice, 0.75)')} AS lineitem_p75_price FROM lineitem GROUP BY 1", q("lineitem.median_price lineitem.p75_price", "lineitem.returnflag"))
+add("median_percentile", f"SELECT l_returnflag AS lineitem_returnflag, {R('median(l_extendedprice)', 4)} AS lineitem_median_price, {R('quantile_cont(l_extendedprice, 0.75)', 4)} AS lineitem_p75_price FROM lineitem GROUP BY 1", q("lineitem.median_price lineitem.p75_price", "lineitem.returnflag"), digits=4)
 add("global_agg", f"SELECT {R('sum(l_extendedprice)')} AS lineitem_revenue, count(*) AS lineitem_lines FROM lineitem", q("lineitem.revenue lineitem.lines"))
 add("distinct_dims", "SELECT DISTINCT l_returnflag AS lineitem_returnflag, l_linestatus AS lineitem_linestatus FROM lineitem", q("", "lineitem.returnflag lineitem.linestatus"))
 add("raw_rows", f"SELECT {KEY.replace('l_shipdate', 'l_shipdate').replace('l_extendedprice)', 'l_extendedprice)')} IS NOT NULL AS ok, l_returnflag AS lineitem_returnflag, {R('l_extendedprice')} AS lineitem_revenue, {R('l_quantity')} AS lineitem_total_quantity FROM lineitem", build=lambda e: e.query(**q("lineitem.revenue lineitem.total_quantity", "lineitem.line_id lineitem.returnflag")).selectExpr("lineitem_line_id is not null as ok", "lineitem_returnflag", "lineitem_revenue", "lineitem_total_quantity"))
