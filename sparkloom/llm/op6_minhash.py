@@ -35,6 +35,8 @@ from sparkloom.llm.common import SPACED, Words, bounded, connected, discard, mix
 COORDS, MIN_MATCHES = 16, 4
 PREFIX = COORDS - MIN_MATCHES + 1
 SPLIT, LEVELS, WINDOW = 8, 4, 3
+#: Coordinates at which a pair must meet in posts; of the PREFIX ones, a linked pair shares 3 but for one in 100,000.
+MIN_POSTS = 3
 PERCENT = 75
 _MULT = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -151,17 +153,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         a, b = now.alias("a"), now.alias("b")
         fits = (100 * F.col("a.hi") >= PERCENT * F.col("b.lo")) & (100 * F.col("b.hi") >= PERCENT * F.col("a.lo"))
         pair = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.pivot") < F.col("b.pivot")) & (F.col("a.comp") != F.col("b.comp")) & fits)
-        found.append(stored(pair.select(F.col("a.pivot").alias("a"), F.col("b.pivot").alias("b")).distinct()))
+        found.append(stored(pair.select(F.col("a.pivot").alias("a"), F.col("b.pivot").alias("b"), F.col("a.c").alias("c")).distinct()))
         if depth == LEVELS - 1 or size.where(F.col("size") > SPLIT).isEmpty():
             break
         steps = F.array(*[F.struct(((F.col("c") + k) % COORDS).alias("c"), F.get("sig", (F.col("c") + k) % COORDS).alias("v")) for k in range(1, WINDOW + 1)])
         over = groups.join(size.where(F.col("size") > SPLIT).select("p"), "p").join(comp.select(F.col("node").alias("pivot"), "sig"), "pivot")
         level = over.withColumn("s", F.explode(steps)).select("pivot", "comp", F.col("s.c").alias("c"), F.xxhash64("p", "s.c", "s.v").alias("p"), "lo", "hi")
+        if depth:
+            discard(*levels[-4:-2])  # what the level before was made of
+            del levels[-4:-2]
     rest = found[0]
     for more in found[1:]:
         rest = rest.unionByName(more)
     nodes = first
-    rest = stored(plausible_members(docs, classes, comp, rest.distinct()))
+    # a pair that could be linked meets at several coordinates
+    counted = rest.groupBy("a", "b").agg(F.count_distinct("c").alias("hits")).where(F.col("hits") >= MIN_POSTS).select("a", "b")
+    rest = stored(plausible_members(docs, classes, comp, counted))
     if not rest.isEmpty():
         more = confirmed(docs, classes, rest)
         if not more.isEmpty():
