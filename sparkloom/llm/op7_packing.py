@@ -36,8 +36,8 @@ END_ID = 2
 POOL_TOKENS = 1 << 20
 GROUP_TOKENS = 1 << 16
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept with their ids by a worker (about 200 MB); beyond it, the cache starts anew with the next group of texts.
-CACHE_WORDS = 800_000
+#: Words kept with their ids by a worker (about 110 MB with their pieces); beyond it, the cache starts anew with the next group of texts.
+CACHE_WORDS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context_size int, step_group long"
 
 
