@@ -2,19 +2,17 @@
 
 A document's set is its distinct 5-word shingles (of fewer words: the whole sequence). Texts
 with the same set form one class, so copies are never expanded into pairs. Every class is
-posted under its (coordinate, MinHash value) pairs; since linked classes share at least
-MIN_MATCHES of COORDS coordinates (at similarity 0.75 all but about 4 in a million do; of those that meet in over-full posts only, all but 8 in 10,000), the
-first COORDS - MIN_MATCHES + 1 coordinates suffice (prefix). Pairs that share a post are
-candidates when the sizes allow the link and at least MIN_MATCHES whole-signature
-coordinates collide; each is confirmed by exact intersection of the full sets.
+posted under its (coordinate, MinHash value) pairs. Linked classes share at least MIN_MATCHES
+of COORDS coordinates (at similarity 0.75 all but 4 in a million do), so they meet in one of
+each other's COORDS - MIN_MATCHES + 1 rarest posts (prefix): posts of common passages drop out.
+Pairs that share a post are candidates when the sizes allow the link and at least MIN_MATCHES
+whole-signature coordinates collide; each is confirmed by exact intersection of the full sets.
 
 1. Star round: each post's members are paired with one hub only, and components are formed.
-2. Rest: only members of one post that are still in different components are paired
-   (skip merging), and members linked to a hub are represented by it, their pivot: as 1 -
-   similarity is a metric, the pivots' exact distance tells which members could be linked at all.
-   Posts are divided by size bands, of which linked sizes share one. A post of over SPLIT pivots is divided by the next coordinates that a linked pair nearly surely
-   shares too, so common passages do not pair everyone with everyone; at the last level what
-   is left is paired whatever its number, so nothing is dropped.
+2. Rest: members of one post that are still in different components are paired, each pair in
+   the first post that both have; a post's largest component is never paired with itself (skip merging).
+   No post is cut, whatever its size. Pairs are confirmed in blocks of a post's members, so that a
+   set is sent once for each block.
 
 Defined cases: null, empty or blank texts have an empty set and are linked with nothing;
 repeated rows and repeated doc_ids are one class if their sets agree, and each row gets its
@@ -24,6 +22,8 @@ non-null doc_id; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,11 +32,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import SPACED, Words, bounded, connected, discard, mix, row_groups, shingle_hashes, stored, table, text_buffers
 
-COORDS, MIN_MATCHES = 16, 4
-PREFIX = COORDS - MIN_MATCHES + 1
-SPLIT, LEVELS, WINDOW = 8, 4, 3
-#: Coordinates at which a pair must meet in posts; of the PREFIX ones, a linked pair shares 3 but for one in 100,000.
-MIN_POSTS = 3
+COORDS, MIN_MATCHES = 31, 12
+#: Shingles of one side of a block.
+BLOCK = 200_000
 PERCENT = 75
 _MULT = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -44,8 +42,8 @@ _MULT = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, COORDS, np.ui
 def signature(h: np.ndarray) -> np.ndarray:
     """COORDS minimum hashes (int32) of a set of 64-bit hashes."""
     low = np.full(COORDS, 2**32 - 1, np.uint64)
-    for lo in range(0, len(h), 1 << 15):
-        low = np.minimum(low, ((mix(h[lo : lo + (1 << 15), None] * _MULT)) >> np.uint64(32)).min(axis=0))
+    for lo in range(0, len(h), 1 << 13):
+        low = np.minimum(low, ((mix(h[lo : lo + (1 << 13), None] * _MULT)) >> np.uint64(32)).min(axis=0))
     return low.astype(np.uint32).view(np.int32)
 
 
@@ -86,39 +84,112 @@ def size_fits(a: Column, b: Column) -> Column:
 
 
 def matches(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    """The number of coordinates at which two signatures collide; without lambdas, so that it is compiled."""
+    return functools.reduce(Column.__add__, [(F.get(a, F.lit(i)) == F.get(b, F.lit(i))).cast("int") for i in range(COORDS)])
+
+
+#: A packed signature: the low bytes of seven coordinates in each of WORDS longs, whose top byte is 0.
+WORDS = -(-COORDS // 7)
+_LOW, _HIGH = 0x007F7F7F7F7F7F7F, 0x0080808080808080
+
+
+def packed(sig: str) -> list[Column]:
+    """Columns w0 to w4 of a signature; filled up with zeros."""
+    byte = lambda i: F.shiftleft(F.get(sig, F.lit(i)).bitwiseAND(255).cast("long"), 8 * (i % 7))
+    return [functools.reduce(Column.bitwiseOR, [byte(i) for i in range(7 * w, min(7 * w + 7, COORDS))]).alias(f"w{w}") for w in range(WORDS)]
+
+
+def packed_matches() -> Column:
+    """The number of equal bytes of the packed signatures of a and b, no less than that of equal coordinates."""
+    count = F.lit(COORDS - 7 * WORDS)  # what is filled up is always equal
+    for w in range(WORDS):
+        z = F.col(f"a.w{w}").bitwiseXOR(F.col(f"b.w{w}"))
+        differs = (z.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(z)  # the high bit of each byte that is not 0
+        count = count + F.bit_count(F.bitwise_not(differs).bitwiseAND(F.lit(_HIGH)))
+    return count
+
+
+def prefix_posts(classes: DataFrame) -> DataFrame:
+    """Each node's shared posts among its COORDS - MIN_MATCHES + 1 rarest: node, c, p.
+
+    Posts are ordered by (size, number) for all nodes alike, and those of one node come first.
+    """
+    post = classes.select("node", F.posexplode("sig").alias("c", "v")).select("node", "c", post_number().alias("p"))
+    shared = post.groupBy("p").agg(F.count("*").alias("size")).where("size > 1")
+    lists = post.join(shared, "p").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("size", "p", "c"))).alias("l"))  # at most COORDS each
+    quota = F.greatest(F.size("l") - (MIN_MATCHES - 1), F.lit(0))
+    return lists.select("node", F.explode(F.slice("l", F.lit(1), quota)).alias("x")).select("node", "x.c", "x.p")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sizes allow a link and whose whole signatures collide often enough."""
+    """The pairs (a, b, p, k) of nodes whose sizes allow a link and whose whole signatures collide often enough."""
     x = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     y = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     ok = size_fits(F.col("na"), F.col("nb")) & (matches(F.col("sa"), F.col("sb")) >= MIN_MATCHES)
-    return pairs.join(x, "a").join(y, "b").where(ok).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").where(ok).select("a", "b", "p", "k")
+
+
+def _links(batches):
+    """Rows sorted by block, sets (b is null) before pairs: the linked pairs."""
+    at, held, pending = None, {}, {}
+
+    def linked():
+        out = []
+        for a, bs in pending.items():
+            x = held[a]
+            # copies of hashes are never in one set, so a sorted set's positions tell the members
+            y = np.concatenate([held[b] for b in bs])
+            pos = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            starts = np.cumsum([0] + [len(held[b]) for b in bs[:-1]])
+            inter = np.add.reduceat((x[pos] == y).astype(np.int64), starts)
+            size = np.array([len(held[b]) for b in bs], np.int64) + len(x)
+            out += [(a, b) for b, ok in zip(bs, 100 * inter >= PERCENT * (size - inter)) if ok]
+        pending.clear()
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
+
+    count = 0
+    for batch in batches:
+        blocks, a, b, items = batch.columns
+        values, offsets = items.values.to_numpy(zero_copy_only=False), items.offsets.to_numpy()
+        for i, (block, x, y) in enumerate(zip(blocks.to_pylist(), a.to_pylist(), b.to_pylist())):
+            if block != at:
+                if pending:
+                    yield linked()
+                at, held, count = block, {}, 0
+            if y is None:
+                held[x] = values[offsets[i] : offsets[i + 1]].view(np.uint64).copy()
+            else:
+                pending.setdefault(x, []).append(y)
+                count += 1
+                if count >= 1 << 16:
+                    yield linked()
+                    count = 0
+    if pending:
+        yield linked()
+
 
+def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links (a, b) among the stored pairs (a, b, p, k), by exact intersection.
 
-def similarities(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact sizes of the pairs' intersections and unions. pairs is stored and has nodes a and b; its other columns stay."""
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = stored(classes.join(need, "node").select("node", "key", "rep"))
-    few = bounded(ids.select(F.col("rep").alias("_rep")).distinct())
+    A pair is checked in a block of its post: each side's members are dealt over k parts of about BLOCK
+    shingles, so that a set is sent once for each block and not once for each pair, and a task holds two parts.
+    """
+    part = lambda x: F.pmod(F.xxhash64(x), F.col("k"))
+    pairs = pairs.select("a", "b", F.xxhash64("p", part("a"), part("b")).alias("block"))
+    need = pairs.select("block", F.col("a").alias("node")).unionByName(pairs.select("block", F.col("b").alias("node"))).distinct()
+    need = stored(need.join(classes.select("node", "key", "rep"), "node"))
+    few = bounded(need.select(F.col("rep").alias("_rep")).distinct())
     texts = docs.join(few, docs["doc_id"].eqNullSafe(few["_rep"]), "left_semi").select("doc_id", "text")
-    # a repeated doc_id may bring other texts along, or one twice: one set of each needed key is kept
-    sets = texts.mapInArrow(lambda it: _sets(it, True), "key binary, n long, items array<long>").join(ids.select("key", "node"), "key")
-    sets = stored(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items")))
-    x = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("xa"))
-    y = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("xb"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("inter", F.size(F.array_intersect("xa", "xb")).cast("long"))
-    out = stored(both.withColumn("both", F.col("na") + F.col("nb") - F.col("inter")).drop("xa", "xb", "na", "nb"))
-    discard(sets, ids)
+    # a repeated doc_id may bring other texts along, or one twice: sets are found by key, and one of each is held
+    sets = texts.mapInArrow(lambda it: _sets(it, True), "key binary, n long, items array<long>").join(bounded(need.select("key", "node", "block")), "key")
+    sets = sets.select("block", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "items")
+    both = sets.unionByName(pairs.select("block", "a", "b", F.lit(None).cast("array<long>").alias("items")))
+    both = both.repartition(F.col("block")).sortWithinPartitions("block", F.col("b").asc_nulls_first(), "a")
+    out = stored(both.mapInArrow(_links, "a long, b long"))
+    discard(need)
     return out
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The links among the pairs: a, b and the distance 1 - similarity."""
-    return similarities(docs, classes, pairs).where(100 * F.col("inter") >= PERCENT * F.col("both")).select("a", "b", (1 - F.col("inter") / F.col("both")).alias("d"))
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
@@ -127,53 +198,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(
         rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id())
     )
+    post = stored(prefix_posts(classes).join(classes.select("node", "n"), "node"))
+    parts = F.ceil(F.sum("n") / BLOCK).alias("k")
 
     # star round
-    post = classes.select("node", F.posexplode(F.slice("sig", 1, PREFIX)).alias("c", "v")).select("node", post_number().alias("p"))
-    hubs = post.groupBy("p").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
-    star = post.join(hubs.select("p", "hub"), "p").where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("posts")).select("a", "b")
-    star = stored(plausible(star, classes))
+    hubs = post.groupBy("p").agg(F.count("*").alias("size"), F.min("node").alias("hub"), parts).where("size > 1").drop("size")
+    star = post.join(hubs, "p").where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.min(F.struct("p", "k")).alias("m"))
+    star = stored(plausible(star.select("a", "b", "m.p", "m.k"), classes))
     links = confirmed(docs, classes, star)
     first = connected(links)
 
-    # rest: members of one post in different components, by way of their pivots
-    near = links.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("d", F.col("b").alias("pivot"))).alias("m")).select("node", "m.d", "m.pivot")
-    comp = classes.select("node", "n", "sig").join(first, "node", "left").join(near, "node", "left")
-    comp = stored(comp.select("node", "n", "sig", F.coalesce("label", "node").alias("comp"), F.coalesce("pivot", "node").alias("pivot"), F.coalesce("d", F.lit(0.0)).alias("d")))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))  # linked sizes are in one band or in neighbours
-    level = comp.select("n", "comp", "pivot", F.explode(F.array(band, band + 1)).alias("band"), F.slice("sig", 1, PREFIX).alias("s"))
-    level = level.select("n", "comp", "pivot", "band", F.posexplode("s").alias("c", "v")).select("pivot", "comp", "c", F.xxhash64("c", "v", "band").alias("p"), F.col("n").alias("lo"), F.col("n").alias("hi"))
-    found, levels = [], []
-    for depth in range(LEVELS):
-        groups = stored(level.groupBy("p", "c", "pivot").agg(F.first("comp").alias("comp"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-        size = groups.groupBy("p").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("p", "size")
-        size = stored(size)
-        levels += [groups, size]
-        now = groups.join(size if depth == LEVELS - 1 else size.where(F.col("size") <= SPLIT), "p")
-        a, b = now.alias("a"), now.alias("b")
-        fits = (100 * F.col("a.hi") >= PERCENT * F.col("b.lo")) & (100 * F.col("b.hi") >= PERCENT * F.col("a.lo"))
-        pair = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.pivot") < F.col("b.pivot")) & (F.col("a.comp") != F.col("b.comp")) & fits)
-        found.append(stored(pair.select(F.col("a.pivot").alias("a"), F.col("b.pivot").alias("b"), F.col("a.c").alias("c")).distinct()))
-        if depth == LEVELS - 1 or size.where(F.col("size") > SPLIT).isEmpty():
-            break
-        steps = F.array(*[F.struct(((F.col("c") + k) % COORDS).alias("c"), F.get("sig", (F.col("c") + k) % COORDS).alias("v")) for k in range(1, WINDOW + 1)])
-        over = groups.join(size.where(F.col("size") > SPLIT).select("p"), "p").join(comp.select(F.col("node").alias("pivot"), "sig"), "pivot")
-        level = over.withColumn("s", F.explode(steps)).select("pivot", "comp", F.col("s.c").alias("c"), F.xxhash64("p", "s.c", "s.v").alias("p"), "lo", "hi")
-        if depth:
-            discard(*levels[-4:-2])  # what the level before was made of
-            del levels[-4:-2]
-    rest = found[0]
-    for more in found[1:]:
-        rest = rest.unionByName(more)
+    # rest: members of one post in different components
+    named = post.join(first, "node", "left").select("node", "n", "c", "p", F.coalesce("label", "node").alias("comp"))
+    by_comp = named.groupBy("p", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    mixed = by_comp.groupBy("p").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp"))["comp"].alias("main"), parts).where("comps > 1").drop("comps")
+    active = stored(named.join(mixed, "p"))
+    posts = active.groupBy("node").agg(F.sort_array(F.collect_list("p")).alias("posts"))  # at most a prefix
+    of_node = posts.join(classes.select("node", *packed("sig")), "node")
+    member = active.join(of_node, "node").withColumn("before", F.expr("slice(posts, 1, int(array_position(posts, p)) - 1)")).drop("posts")
+    a, b = member.where("comp <> main").alias("a"), member.alias("b")
+    once = ~F.arrays_overlap("a.before", "b.before")  # of the posts that both have, the first one pairs them
+    other = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
+    pair = a.join(b, (F.col("a.p") == F.col("b.p")) & other & size_fits(F.col("a.n"), F.col("b.n")) & (packed_matches() >= MIN_MATCHES) & once)
+    rest = stored(pair.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.p").alias("p"), F.col("a.k").alias("k")))
+    discard(star, post, active)
     nodes = first
-    # a pair that could be linked meets at several coordinates
-    counted = rest.groupBy("a", "b").agg(F.count_distinct("c").alias("hits")).where(F.col("hits") >= MIN_POSTS).select("a", "b")
-    rest = stored(plausible_members(docs, classes, comp, counted))
     if not rest.isEmpty():
         more = confirmed(docs, classes, rest)
         if not more.isEmpty():
             nodes = connected(links.unionByName(more))
-    discard(star, comp, rest, *levels, *found)
+    discard(rest)
 
     named = classes.select("key", "node", "rep").join(nodes, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -183,33 +237,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def plausible_members(docs: DataFrame, classes: DataFrame, comp: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Pairs of nodes to be confirmed, of the pairs (a, b) of pivots.
-
-    1 - similarity is a metric: members x of pivot a and y of pivot b can be linked only if
-    the pivots' distance is at most 0.25 + d(x, a) + d(y, b). Pairs of pivots without other members are
-    passed on; for others the pivots' exact distance decides which members are paired.
-    """
-    limit = 1 - PERCENT / 100
-    radius = stored(comp.groupBy("pivot").agg(F.max("d").alias("r"), F.max((F.col("node") != F.col("pivot")).cast("int")).alias("group")))
-    known = pivots.join(radius.select(F.col("pivot").alias("a"), F.col("r").alias("ra"), F.col("group").alias("ga")), "a").join(radius.select(F.col("pivot").alias("b"), F.col("r").alias("rb"), F.col("group").alias("gb")), "b")
-    known = stored(known.withColumn("far", limit + F.col("ra") + F.col("rb") + 1e-9))
-    single = known.where("ga = 0 and gb = 0").select("a", "b")
-    x = classes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
-    y = classes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    # collisions that all but some ten in a million pairs of that distance have
-    least = F.when(F.col("far") <= limit + 1e-6, MIN_MATCHES).when(F.col("far") <= 0.4, 2).otherwise(1)
-    wide = stored(known.where("ga = 1 or gb = 1").join(x, "a").join(y, "b").where((matches(F.col("sa"), F.col("sb")) >= least) | (F.col("far") > 0.5)).select("a", "b", "far"))
-    out = single
-    if not wide.isEmpty():
-        close = similarities(docs, classes, wide).withColumn("dab", 1 - F.col("inter") / F.col("both")).where("dab <= far").select("a", "b", "dab")
-        one = comp.select(F.col("pivot").alias("a"), F.col("node").alias("na"), F.col("d").alias("da"))
-        two = comp.select(F.col("pivot").alias("b"), F.col("node").alias("nb"), F.col("d").alias("db"))
-        members = close.join(one, "a").join(two, "b").where(F.col("dab") <= limit + F.col("da") + F.col("db") + 1e-9)
-        out = out.unionByName(members.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))).distinct()
-    return plausible(out, classes)
-
-
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
