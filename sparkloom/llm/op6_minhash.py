@@ -34,7 +34,7 @@ from sparkloom.llm.common import SPACED, Words, bounded, connected, discard, mix
 
 COORDS, MIN_MATCHES = 31, 12
 #: Shingles of one side of a block.
-BLOCK = 200_000
+BLOCK = 65_536
 PERCENT = 75
 _MULT = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
