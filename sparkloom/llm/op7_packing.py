@@ -18,8 +18,11 @@ repeated rows are packed once each; null doc_ids are kept; extra columns are ign
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import re
+import threading
 import unicodedata
 import zlib
 
@@ -38,6 +41,8 @@ GROUP_TOKENS = 1 << 16
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their ids by a worker (about 110 MB with their pieces); beyond it, the cache starts anew with the next group of texts.
 CACHE_WORDS = 400_000
+#: Seconds that an idle worker keeps its tokenizer and cache.
+KEEP_SECONDS = 1.5
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context_size int, step_group long"
 
 
@@ -115,6 +120,30 @@ def tokenizer_of(path: str) -> FastTokenizer:
     return FastTokenizer(path)
 
 
+def _release() -> None:
+    tokenizer_of.cache_clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep what is freed
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+_timers: list[threading.Timer] = []
+
+
+@contextlib.contextmanager
+def kept_tokenizer(path: str):
+    """The worker's tokenizer for one task. A worker that gets no further task of the kind soon gives its memory back."""
+    while _timers:
+        _timers.pop().cancel()
+    try:
+        yield tokenizer_of(path)
+    finally:
+        timer = threading.Timer(KEEP_SECONDS, _release)
+        timer.daemon = True
+        _timers.append(timer)
+        timer.start()
+
+
 class Packer:
     """Pieces are (doc_id, start, ids, tokens of the document); closed windows come out as rows."""
 
@@ -241,18 +270,19 @@ def pack(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...]
             import public_tokenizers
 
             path = public_tokenizers.path(VOCABULARY)
-        tokens, packer = tokenizer_of(path), Packer(TaskContext.get().partitionId(), tiers)
+        packer = Packer(TaskContext.get().partitionId(), tiers)
         end = np.array([END_ID], np.uint32)
-        for batch in batches:
-            _, offsets = text_buffers(batch.column(1))
-            ids = batch.column(0).to_pylist()
-            for lo, hi in row_groups(offsets, 4 << 20):
-                texts = [x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                for doc_id, found in zip(ids[lo:hi], tokens(texts), strict=True):
-                    packer.add(doc_id, np.concatenate((found, end)))
-            if packer.rows:
-                yield _batch(packer.rows)
-                packer.rows = []
+        with kept_tokenizer(path) as tokens:
+            for batch in batches:
+                _, offsets = text_buffers(batch.column(1))
+                ids = batch.column(0).to_pylist()
+                for lo, hi in row_groups(offsets, 4 << 20):
+                    texts = [x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                    for doc_id, found in zip(ids[lo:hi], tokens(texts), strict=True):
+                        packer.add(doc_id, np.concatenate((found, end)))
+                if packer.rows:
+                    yield _batch(packer.rows)
+                    packer.rows = []
         packer.drain()
         if packer.rows:
             yield _batch(packer.rows)
