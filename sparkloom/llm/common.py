@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -92,6 +94,13 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def release_memory() -> None:
+    """Give what this worker has freed, also in earlier tasks, back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep what is freed
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # ---------------------------------------------------------------- Arrow text
 
 

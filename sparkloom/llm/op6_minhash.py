@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SPACED, Words, bounded, connected, discard, mix, row_groups, shingle_hashes, stored, table, text_buffers
+from sparkloom.llm.common import SPACED, Words, bounded, connected, discard, mix, release_memory, row_groups, shingle_hashes, stored, table, text_buffers
 
 COORDS, MIN_MATCHES = 31, 12
 #: Shingles of one side of a block.
@@ -49,6 +49,7 @@ def signature(h: np.ndarray) -> np.ndarray:
 
 def _sets(batches, sets: bool):
     """Per row of (id, text): its set's key, size, and the signature or the set itself."""
+    release_memory()
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
         keys, sizes, lists = [], [], []
@@ -131,6 +132,7 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _links(batches):
     """Rows sorted by block, sets (b is null) before pairs: the linked pairs."""
+    release_memory()
     at, held, pending = None, {}, {}
 
     def linked():

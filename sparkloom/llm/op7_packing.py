@@ -19,7 +19,6 @@ repeated rows are packed once each; null doc_ids are kept; extra columns are ign
 from __future__ import annotations
 
 import contextlib
-import ctypes
 import functools
 import re
 import threading
@@ -32,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm.common import row_groups, table, text_buffers
+from sparkloom.llm.common import release_memory, row_groups, table, text_buffers
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -122,9 +121,7 @@ def tokenizer_of(path: str) -> FastTokenizer:
 
 def _release() -> None:
     tokenizer_of.cache_clear()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep what is freed
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    release_memory()
 
 
 _timers: list[threading.Timer] = []
