@@ -51,6 +51,11 @@ class Node:
         self.total = self.links = 0
 
 
+def _letter(c: str) -> bool:
+    """Only ASCII letters begin a tag's name; before any other, '<' is text and '</' a comment."""
+    return c.isascii() and c.isalpha()
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order, parents before children; runs have the tag '#run'."""
     nodes = [Node("html", "", -1)]
@@ -89,11 +94,11 @@ def parse(page: str) -> list[Node]:
             end = page.find("-->", lt + 4)
             at = n if end < 0 else end + 3
             continue
-        if nxt in ("!", "?") or (nxt == "/" and not page[lt + 2 : lt + 3].isalpha()):
+        if nxt in ("!", "?") or (nxt == "/" and not _letter(page[lt + 2 : lt + 3])):
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        if not (nxt.isalpha() or nxt == "/"):
+        if not (_letter(nxt) or nxt == "/"):
             if not hidden:
                 run.append("<")
             at = lt + 1

@@ -230,6 +230,16 @@ def test_html(spark):
     assert len(p) == len(nodes)
 
 
+def runs(page):
+    return [x.text for x in op2_html.parse(page) if x.tag == "#run"]
+
+
+def test_html_tags_begin_with_ascii_letters():
+    assert runs("<p>x <éa and <über and <中.</p><p>Next.</p>") == ["x <éa and <über and <中.", "Next."]
+    assert runs("<p>x </éa> y</p><p>Next.</p>") == ["x y", "Next."]
+    assert runs("<p>x <éa without end") == ["x <éa without end"]
+
+
 @pytest.mark.parametrize("big", [False, True])
 def test_topk(spark, big):
     g = np.random.default_rng(3)
