@@ -33,7 +33,8 @@ _HIDDEN = frozenset("script style noscript template iframe object svg math head
 _RAW = frozenset("script style title textarea iframe noframes noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: A quote opens a string only as the first character of a value; one that no other closes is plain.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\f\r>"'][^ \t\n\f\r>]*+|(?=>)))?+)*+)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _AGAINST = re.compile(r"nav|menu|header|foot|side|\bads?\b|\bad[-_]|advert|sponsor|banner|cookie|consent|notice|alert|promo|comment|disqus|repl(?:y|ies)|share|social|related|recommend|widget|popup|modal|form|login|sign|subscri|newsletter|breadcrumb|pager|pagination|toolbar|copyright|legal")

@@ -240,6 +240,14 @@ def test_html_tags_begin_with_ascii_letters():
     assert runs("<p>x <éa without end") == ["x <éa without end"]
 
 
+def test_html_quotes_open_only_values():
+    assert runs("<p title=Bob's>Text one.</p><p>It's text two.</p>") == ["Text one.", "It's text two."]
+    assert runs('<p class="x"">First.</p><p>Second</p><p class="y"">Third.</p>') == ["First.", "Second", "Third."]
+    assert runs("<p don't>One.</p><p a = 'x>y' b=\">\"c=d'e>It's two.</p>") == ["One.", "It's two."]
+    assert runs("<p title=>\"One\".</p><p ='>Two.</p><p>'Three'</p>") == ['"One".', "Two.", "'Three'"]
+    assert runs('<p title="open>One.</p><p>Two.</p>') == ["One.", "Two."]
+
+
 @pytest.mark.parametrize("big", [False, True])
 def test_topk(spark, big):
     g = np.random.default_rng(3)
