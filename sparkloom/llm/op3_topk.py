@@ -13,14 +13,16 @@ reaches the lowest of its queries' k-th scores, nearest first, and passes over t
 needs any more. Scores are integers, computed by float64 products where all are below 2**53, otherwise
 by Python's integers.
 
-Equal vectors are one index entry with its k + 1 smallest ids (no more can ever be among k results of a
-query and its own row), and equal queries are searched once, so groups of copies do not pile up. Only
-counts, the pivots (at most PIVOTS, from a bounded sample), and M reach the driver.
+Equal vectors are one index entry with its k + 1 smallest distinct ids and the number of rows of each (an
+own id leaves k others, so no more can be among k results), and equal queries are searched once, so groups
+of copies do not pile up. Bounds and best lists count distinct ids too: an id with many rows takes one place,
+and ranks are given after the own id is taken out. Only counts, the pivots (at most PIVOTS, from a bounded
+sample), and M reach the driver.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor rows
 with a null vec_id; vectors are compared with those of their own length only, a length at a time; repeated vec_ids are
-rows of their own, scores beyond a long are an error (a query's own row leaves by id, so all rows of its id do); ties go to the smaller vec_id; extra
-columns are ignored; an empty table gives no rows.
+rows of their own, as in the SQL (the rows of one query id share its k ranks, where each of their pairs counts; a query's own row leaves by id, so all
+rows of its id do); scores beyond a long are an error; ties go to the smaller vec_id; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -106,8 +108,19 @@ def _blocks(df: DataFrame, size: int) -> DataFrame:
     return part.mapInPandas(cut, part.schema.simpleString()[7:-1] + ", block: bigint").withColumn("block", F.xxhash64("pivot", "part", "block"))
 
 
+def _last_needed(s: np.ndarray, ids: list[np.ndarray], k: int) -> np.ndarray:
+    """Of each row of scores the one at which k + 1 distinct ids are reached, or the least."""
+    flat, of = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.diff(flat[order], prepend=flat[order[0]] - 1))
+    if len(first) < len(flat):  # an id in several entries counts once, with its best score
+        s = np.maximum.reduceat(s[:, of[order]], first, axis=1)
+    take = min(k + 1, s.shape[1])
+    return np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take]
+
+
 def _search(pairs: DataFrame, queries: DataFrame, index: DataFrame, k: int, m2: float, pivots: np.ndarray) -> DataFrame:
-    """Best k + 1 entries of every query over the (qblock, block) pairs; one query block with one data block at a time."""
+    """Entries that hold the best k + 1 distinct ids of every query over the (qblock, block) pairs; one query block with one data block at a time."""
 
     def run(batches):
         for pdf in batches:
@@ -121,43 +134,57 @@ def _search(pairs: DataFrame, queries: DataFrame, index: DataFrame, k: int, m2:
                     continue
                 s = _products(q[need], x)
                 floor = np.array(r.floor, float)[need]
-                take = min(k + 1, s.shape[1])
-                best = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take]
+                best = _last_needed(s, r.ids, k)
                 i, j = np.nonzero(s >= np.maximum(best, floor)[:, None])  # ties with the last are all kept: ids decide
                 if len(i):
-                    yield pd.DataFrame({"qid": np.array(r.qid)[need][i], "score": s[i, j], "ids": pd.Series([r.ids[t] for t in j], dtype=object)})
+                    yield pd.DataFrame({"qid": np.array(r.qid)[need][i], "score": s[i, j], "ids": pd.Series([r.ids[t] for t in j], dtype=object), "ns": pd.Series([r.ns[t] for t in j], dtype=object)})
 
-    joined = pairs.join(queries, "qblock").join(index, "block").select("qid", "qv", "floor", "xv", "ids", "pivot", "lo", "hi")
-    return joined.mapInPandas(run, "qid long, score long, ids array<long>")
+    joined = pairs.join(queries, "qblock").join(index, "block").select("qid", "qv", "floor", "xv", "ids", "ns", "pivot", "lo", "hi")
+    return joined.mapInPandas(run, "qid long, score long, ids array<long>, ns array<long>")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """Per query vector the k + 1 best (score, id)."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return found.select("qid", "score", F.explode("ids").alias("id")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    """Per query vector the best (score, id, n), n rows each, as far as the k + 1 distinct ids that come first; `r` numbers an id's first row.
+
+    Of one id no more than k are kept: none can be in k results.
+    """
+    rows = found.select("qid", "score", F.explode(F.arrays_zip("ids", "ns")).alias("x")).select("qid", "score", F.col("x.ids").alias("id"), F.col("x.ns").alias("n"))
+    same = Window.partitionBy("qid", "id").orderBy(F.desc("score"))
+    rows = rows.repartition(F.col("qid")).withColumn("t", F.row_number().over(same)).where(F.col("t") <= k)
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id", "t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("ids", F.sum((F.col("t") == 1).cast("int")).over(w)).where(F.col("ids") <= k + 1)
+    return rows.withColumn("r", F.when(F.col("t") == 1, F.col("ids"))).drop("t", "ids")
 
 
 def top_k(vectors: DataFrame, k: int = TOP, modulus: int = QUERY_MODULUS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for every query row (id divisible by modulus)."""
-    rows = stored(quantized(vectors, id_col, vec_col))
+    rows = stored(quantized(vectors, id_col, vec_col).groupBy("v", "id").agg(F.count("*").alias("n")))
     w = Window.partitionBy("v").orderBy("id")
     few = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
-    entries = stored(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("v")))
-    asked = rows.where(F.col("id") % modulus == 0).select(F.col("id").alias("query_id"), "v").distinct()
+    entries = few.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("x"))
+    entries = stored(entries.select("v", F.col("x.id").alias("ids"), F.col("x.n").alias("ns"), F.size("v").alias("dim")))
+    asked = rows.where(F.col("id") % modulus == 0).select(F.col("id").alias("query_id"), "v", F.col("n").alias("m"))
     out = None
     for dim in sorted(r.dim for r in entries.select("dim").distinct().collect()):
         part = _top_k_of(entries.where(F.col("dim") == dim).drop("dim"), asked.where(F.size("v") == dim), k)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # a pair of rows each, of which k are enough
+    each = out.withColumn("_", F.explode(F.sequence(F.lit(1), F.least(F.col("m") * F.col("n"), F.lit(k)).cast("int"))))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _top_k_of(entries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, m, vec_id, score, n: the candidates of every query, without its own id; m rows ask, n rows are found."""
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     m2 = float(entries.agg(F.max(square)).first()[0])
     pivots = _pivots(entries, m2)
     index = _blocks(_keyed(entries, pivots, m2, False), BLOCK)
-    index = stored(index.groupBy("block").agg(F.first("pivot").alias("pivot"), F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.collect_list(F.struct("v", "ids")).alias("x"))).select("block", "pivot", "lo", "hi", "x.v", "x.ids").withColumnRenamed("v", "xv")
-    ask = stored(asked.groupBy("v").agg(F.min("query_id").alias("qid")))
+    index = stored(index.groupBy("block").agg(F.first("pivot").alias("pivot"), F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.collect_list(F.struct("v", "ids", "ns")).alias("x"))).select("block", "pivot", "lo", "hi", "x.v", "x.ids", "x.ns").withColumnRenamed("v", "xv")
+    # a number for each vector, as a repeated id may have several; once stored, it stays
+    ask = stored(asked.select("v").distinct().withColumn("qid", F.monotonically_increasing_id()))
     blocks = _blocks(_keyed(ask, pivots, m2, True), QUERY_BLOCK).withColumnRenamed("block", "qblock")
     blocks = stored(blocks.select("qblock", "pivot", "dist", "qid", "v"))
 
@@ -195,10 +222,9 @@ def _top_k_of(entries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     want = blocks.select("qblock", "v", "floor").mapInPandas(reach, "qblock long, p int, a double, b double").groupBy("qblock", "p").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     pairs = want.join(annuli, "p").where((F.col("hi") >= F.col("a")) & (F.col("lo") <= F.col("b"))).select("qblock", "block").join(seed, ["qblock", "block"], "left_anti")
     more = _search(pairs, packed(blocks), index, k, m2, pivots)
-    best = _best(found.unionByName(more), k).select("qid", "score", "id")
-    each = asked.join(ask, "v").select("query_id", "qid").join(best, "qid").where(F.col("id") != F.col("query_id"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    best = _best(found.unionByName(more), k)
+    each = asked.join(ask, "v").select("query_id", "m", "qid").join(best, "qid").where(F.col("id") != F.col("query_id"))
+    return each.select("query_id", "m", F.col("id").alias("vec_id"), "score", "n")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

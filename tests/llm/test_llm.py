@@ -264,6 +264,26 @@ def test_topk(spark, big):
     assert op3_topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_ids(spark, tmp_path):
+    g = np.random.default_rng(4)
+    v = np.round(g.normal(size=(120, 6)), 3)
+    own = [(0, v[0])] * 7 + [(50, v[50])] * 2  # copies of queries
+    more = [(100, 3 * v[0] + d) for d in range(9)] + [(100, v[50])]  # a query with several vectors
+    some = [(7, v[7])] * 3 + [(7, v[0]), (8, v[0]), (0, v[50]), (150, v[0]), (150, np.ones(2)), (9, np.ones(2))]
+    rows = [(i, [float(y) for y in x]) for i, x in [*enumerate(v), *own, *more, *some]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings/*.parquet'")
+        want = Counter(db.execute(op3_topk.SQL).fetchall())
+    assert len(want) == 20 and Counter(tuple(r) for r in op3_topk.top_k(df).collect()) == want
+    block, op3_topk.BLOCK = op3_topk.BLOCK, 4
+    try:
+        assert Counter(tuple(r) for r in op3_topk.top_k(df).collect()) == want
+    finally:
+        op3_topk.BLOCK = block
+
+
 def test_chat(spark):
     g = random.Random(3)
     names = ["", "system", "user", "assistant"]
