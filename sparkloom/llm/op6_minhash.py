@@ -27,8 +27,9 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from sparkloom.llm.common import SPACED, Words, bounded, connected, discard, mix, release_memory, row_groups, shingle_hashes, stored, table, text_buffers
 
@@ -192,8 +193,8 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+def components(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, key (of its set), n_shingles, label (of its component), component_id, kept. Without a set, key and label are null."""
     docs = docs.select("doc_id", "text")
     rows = stored(docs.mapInArrow(lambda it: _sets(it, False), "doc_id long, key binary, n long, sig array<int>"))
     # once stored, node numbers stay
@@ -233,24 +234,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     named = classes.select("key", "node", "rep").join(nodes, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_key = stored(named.join(ids, "label").select("key", "component_id"))
-    out = rows.where("n > 0").select("doc_id", "key", F.col("n").alias("n_shingles")).join(of_key, "key").drop("key")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    of_key = stored(named.join(ids, "label").select("key", "label", "component_id"))
+    out = rows.where("n > 0").select("doc_id", "key", F.col("n").alias("n_shingles")).join(of_key, "key")
+    empty = rows.where("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    return components(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs with `_key`, the key of each row's set."""
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index("text"))
+            keys = [x.column(1) for x in _sets([pa.RecordBatch.from_arrays([text, text], ["doc_id", "text"])], False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], [*batch.schema.names, "_key"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_key", BinaryType())]))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group stays: the kept doc_id's; of rows that repeat it, one with the smallest text."""
-    keep = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_d")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    some = kept.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select(F.col("doc_id").alias("_d"))
-    if some.isEmpty():
+    """One row of each component stays: of the rows with its component_id, one with the smallest text. Rows without a set all stay.
+
+    Rows are told by doc_id; where it is null or repeated, by the key of their set too.
+    """
+    found = components(docs)
+    keep = found.where("kept").select(F.col("doc_id").alias("_d")).distinct()
+    several = found.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_d"))
+    several = stored(several)
+    same = F.col("doc_id").eqNullSafe(F.col("_d"))
+    kept = docs.join(keep, same, "left_semi")
+    if several.isEmpty():
         return kept
-    twice = F.col("doc_id").eqNullSafe(F.col("_d"))
-    once = kept.join(some, twice, "left_anti")
-    best = kept.join(some, twice, "left_semi").select(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("_s"), "doc_id").groupBy("doc_id").agg(F.min("_s").alias("_s"))
-    return once.unionByName(best.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_s.{c}").alias(c) for c in docs.columns]))
+    once = kept.join(several, same, "left_anti")
+    keyed = with_keys(docs.join(several, same, "left_semi"))
+    mine = found.where("kept and key is not null").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("label").alias("_label")).distinct()
+    first = Window.partitionBy("_label").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    best = keyed.join(mine, same & (F.col("_key") == F.col("_k"))).withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    return once.unionByName(keyed.where("_key is null").select(docs.columns)).unionByName(best.select(docs.columns))

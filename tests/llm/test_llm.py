@@ -91,6 +91,15 @@ def test_hot_posts_lose_no_link(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(150))
 
 
+def test_rows_with_repeated_or_null_ids_are_dropped_by_row(spark):
+    a, b, c, d, e = (words(80, 20 + i) for i in range(5))
+    near = lambda t: t + " more"
+    rows = [(1, a), (2, b), (2, near(a)), (3, c), (3, d), (3, d), (4, near(d)), (None, e), (None, e), (None, near(b)), (None, words(80, 30)), (5, ""), (6, None), (None, "")]
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_chars int")
+    got = Counter((r.doc_id, r.text) for r in op6_minhash.drop_near_duplicates(df).collect())
+    assert got == Counter([(1, a), (2, b), (3, c), (3, d), (None, e), (None, words(80, 30)), (5, ""), (6, None), (None, "")])
+
+
 def test_suffix(docs, empty):
     def brute(rows):
         seen = Counter(b[k : k + 200] for b in rows for k in range(len(b) - 199))
