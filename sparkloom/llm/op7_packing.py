@@ -1,9 +1,9 @@
 """Hierarchical multi-length packing of tokenized documents.
 
 Each task streams its documents. A document's ids (with the end id) are routed to context-size
-tiers: full windows of the longest tier at once, the rest to the smallest tier that holds it. In
-a tier, pieces are laid end to end best fit first; what a long window lacks is filled with pieces of
-shorter tiers, cut where the window ends. A window still open at the end of a pool
+tiers: full windows of the longest tier at once, the rest to the smallest tier that holds it. Each
+tier has windows of its own size, in which pieces are laid end to end best fit first; what a window lacks is
+filled with pieces of shorter tiers, the last one cut where the window ends. A window still open at the end of a pool
 is closed as windows of shorter tiers, powers of two, so that padding stays at a few ids a
 task. Sequences of equal length are dealt to step groups of GROUP_TOKENS ids, so that a step's
 sequences cost the same.
@@ -178,14 +178,14 @@ class Packer:
         self.number += 1
 
     def drain(self) -> None:
-        """Pack the pool: per tier, longest first; gaps are filled from shorter tiers."""
+        """Pack the pool: per tier, longest first, in windows of the tier's size; gaps are filled from shorter tiers."""
         for pool in self.pools.values():
             pool.sort(key=lambda x: len(x[2]))  # pop() takes the longest; the order of equals is that of arrival
         order = self.tiers[::-1]
         for tier in order:
             pool = self.pools[tier]
             while pool:
-                window, room = [], self.longest
+                window, room = [], tier
                 # long pieces of this tier first, then the longest piece that fits from any shorter tier
                 while room:
                     piece = self.fitting(order[order.index(tier) :], room)
@@ -201,7 +201,7 @@ class Packer:
                 if room:
                     self.close_open(window)
                 else:
-                    self.close(window, self.longest)
+                    self.close(window, tier)
         self.pooled = 0
 
     def fitting(self, tiers, room: int):

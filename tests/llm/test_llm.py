@@ -147,6 +147,22 @@ def test_packing(docs, empty):
     assert op7_packing.pack(empty).count() == 0
 
 
+def test_each_tier_is_packed_in_its_own_windows():
+    g = random.Random(6)
+    packer, sizes = op7_packing.Packer(0), [g.choice((g.randint(1, 512), g.randint(513, 1024), g.randint(1025, 2048), g.randint(2049, 9000))) for _ in range(400)]
+    for i, n in enumerate(sizes):
+        packer.add(i, np.full(n, i, np.uint32))
+    packer.drain()
+    seq, total = defaultdict(list), Counter()
+    for doc, start, length, _, _, number, offset, size, _ in packer.rows:
+        seq[number, size].append((offset, length))
+        total[doc] += length
+    assert total == Counter(dict(enumerate(sizes)))
+    windows = Counter(size for _, size in seq)
+    assert min(windows[t] for t in op7_packing.TIERS) > 20
+    assert sum(size for _, size in seq) - sum(sizes) < 3 * 512  # padding of a pool's last window only
+
+
 def test_tokenizer_is_exact():
     import public_tokenizers
     from tokenizers import Tokenizer
