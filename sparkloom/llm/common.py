@@ -61,13 +61,15 @@ def discard(*dfs: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Narrow rows (16 to 40 bytes) are broadcast up to this many; beyond it, they are shuffled.
-BROADCAST_ROWS = 500_000
+#: Tables of fixed width are broadcast up to this many bytes; beyond it, they are shuffled.
+BROADCAST_BYTES = 16 << 20
+_WIDTHS = {"bigint": 8, "double": 8, "int": 4, "boolean": 1, "binary": 16}
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """`df`, a few narrow columns, to be broadcast if its rows are counted to be few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """`df`, to be broadcast if its counted rows are few enough; binary columns are 128-bit keys."""
+    width = 8 + sum(_WIDTHS.get(kind, 64) for _, kind in df.dtypes)
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

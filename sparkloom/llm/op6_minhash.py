@@ -5,10 +5,16 @@ with the same set form one class, so copies are never expanded into pairs. Every
 posted under its (coordinate, MinHash value) pairs. Linked classes share at least MIN_MATCHES
 of COORDS coordinates (at similarity 0.75 all but 4 in a million do), so they meet in one of
 each other's COORDS - MIN_MATCHES + 1 rarest posts (prefix): posts of common passages drop out.
-Pairs that share a post are candidates when the sizes allow the link and at least MIN_MATCHES
-whole-signature coordinates collide; each is confirmed by exact intersection of the full sets.
+Pairs that share a post are candidates when the sizes allow the link, at least MIN_MATCHES
+whole-signature coordinates collide and their odd sketches allow it; each is confirmed by exact
+intersection of the full sets.
 
-1. Star round: each post's members are paired with one hub only, and components are formed.
+An odd sketch (Mitzenmacher, Pagh and Pham, 2014) holds the parities of a set's counts by hash bucket. Two
+sketches differ in no more bits than their sets differ in shingles, so this test loses no link, while it rules
+out nearly all pairs of a group of near copies that are somewhat too unlike.
+
+1. Star round: each post's members are paired with one hub only, the member whose posts are the largest,
+   which is the one nearest to the middle of a group of near copies; components are formed.
 2. Rest: members of one post that are still in different components are paired, each pair in
    the first post that both have; a post's largest component is never paired with itself (skip merging).
    No post is cut, whatever its size. Pairs are confirmed in blocks of a post's members, so that a
@@ -34,6 +40,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from sparkloom.llm.common import SPACED, Words, bounded, connected, discard, mix, release_memory, row_groups, shingle_hashes, stored, table, text_buffers
 
 COORDS, MIN_MATCHES = 31, 12
+#: Bits of an odd sketch.
+PARITIES = 512
 #: Shingles of one side of a block.
 BLOCK = 65_536
 PERCENT = 75
@@ -48,12 +56,18 @@ def signature(h: np.ndarray) -> np.ndarray:
     return low.astype(np.uint32).view(np.int32)
 
 
+def odd_sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of a set's counts by hash bucket, packed in PARITIES / 64 longs."""
+    parity = np.bincount((mix(h) >> np.uint64(55)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(batches, sets: bool):
-    """Per row of (id, text): its set's key, size, and the signature or the set itself."""
+    """Per row of (id, text): its set's key, size, and the signature and odd sketch, or the set itself."""
     release_memory()
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
-        keys, sizes, lists = [], [], []
+        keys, sizes, lists, odd = [], [], [], []
         for lo, hi in row_groups(offsets):
             words = Words(data, offsets[lo : hi + 1], SPACED)
             for r in range(hi - lo):
@@ -61,11 +75,14 @@ def _sets(batches, sets: bool):
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 sizes.append(len(h))
                 lists.append(h.view(np.int64) if sets else signature(h) if len(h) else np.zeros(0, np.int32))
+                if not sets:
+                    odd.append(odd_sketch(h))
             if sets and sum(map(len, lists)) > 1 << 20:
                 yield _batch(keys, sizes, lists, pa.int64())
                 keys, sizes, lists = [], [], []
         if not sets:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_batch(keys, sizes, lists, pa.int32()).columns], ["doc_id", "key", "n", "sig"])
+            parities = _batch(keys, sizes, odd, pa.int64()).column(2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_batch(keys, sizes, lists, pa.int32()).columns, parities], ["doc_id", "key", "n", "sig", "odd"])
         elif keys:
             yield _batch(keys, sizes, lists, pa.int64())
 
@@ -111,23 +128,39 @@ def packed_matches() -> Column:
     return count
 
 
+def parities(odd: str) -> list[Column]:
+    """Columns o0 to o7 of an odd sketch."""
+    return [F.get(odd, F.lit(i)).alias(f"o{i}") for i in range(PARITIES // 64)]
+
+
+def sketches_allow(a: list[Column], b: list[Column], na: Column, nb: Column) -> Column:
+    """Whether two odd sketches allow a link: a similarity of 3/4 means that 7 times the unshared shingles are at most na + nb."""
+    differ = functools.reduce(Column.__add__, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)])
+    return 7 * differ <= na + nb
+
+
 def prefix_posts(classes: DataFrame) -> DataFrame:
-    """Each node's shared posts among its COORDS - MIN_MATCHES + 1 rarest: node, c, p.
+    """Each node's shared posts among its COORDS - MIN_MATCHES + 1 rarest: node, score, c, p.
 
-    Posts are ordered by (size, number) for all nodes alike, and those of one node come first.
+    Posts are ordered by (size, number) for all nodes alike, and those of one node come first. The score grows with
+    the sizes of all the node's posts.
     """
     post = classes.select("node", F.posexplode("sig").alias("c", "v")).select("node", "c", post_number().alias("p"))
     shared = post.groupBy("p").agg(F.count("*").alias("size")).where("size > 1")
-    lists = post.join(shared, "p").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("size", "p", "c"))).alias("l"))  # at most COORDS each
+    lists = post.join(shared, "p").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("size", "p", "c"))).alias("l"),  # at most COORDS each
+        F.sum((16 * F.log2("size")).cast("long")).alias("score"),
+    )
     quota = F.greatest(F.size("l") - (MIN_MATCHES - 1), F.lit(0))
-    return lists.select("node", F.explode(F.slice("l", F.lit(1), quota)).alias("x")).select("node", "x.c", "x.p")
+    return lists.select("node", "score", F.explode(F.slice("l", F.lit(1), quota)).alias("x")).select("node", "score", "x.c", "x.p")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b, p, k) of nodes whose sizes allow a link and whose whole signatures collide often enough."""
-    x = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    y = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    ok = size_fits(F.col("na"), F.col("nb")) & (matches(F.col("sa"), F.col("sb")) >= MIN_MATCHES)
+    x = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("odd").alias("oa"))
+    y = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("odd").alias("ob"))
+    each = lambda x: [F.get(x, F.lit(i)) for i in range(PARITIES // 64)]
+    ok = size_fits(F.col("na"), F.col("nb")) & (matches(F.col("sa"), F.col("sb")) >= MIN_MATCHES) & sketches_allow(each("oa"), each("ob"), F.col("na"), F.col("nb"))
     return pairs.join(x, "a").join(y, "b").where(ok).select("a", "b", "p", "k")
 
 
@@ -196,16 +229,19 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
 def components(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, key (of its set), n_shingles, label (of its component), component_id, kept. Without a set, key and label are null."""
     docs = docs.select("doc_id", "text")
-    rows = stored(docs.mapInArrow(lambda it: _sets(it, False), "doc_id long, key binary, n long, sig array<int>"))
+    rows = stored(docs.mapInArrow(lambda it: _sets(it, False), "doc_id long, key binary, n long, sig array<int>, odd array<long>"))
     # once stored, node numbers stay
     classes = stored(
-        rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id())
+        rows.where("n > 0")
+        .groupBy("key")
+        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
     post = stored(prefix_posts(classes).join(classes.select("node", "n"), "node"))
     parts = F.ceil(F.sum("n") / BLOCK).alias("k")
 
     # star round
-    hubs = post.groupBy("p").agg(F.count("*").alias("size"), F.min("node").alias("hub"), parts).where("size > 1").drop("size")
+    hubs = post.groupBy("p").agg(F.count("*").alias("size"), F.max(F.struct("score", "node"))["node"].alias("hub"), parts).where("size > 1").drop("size")
     star = post.join(hubs, "p").where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.min(F.struct("p", "k")).alias("m"))
     star = stored(plausible(star.select("a", "b", "m.p", "m.k"), classes))
     links = confirmed(docs, classes, star)
@@ -217,12 +253,14 @@ def components(docs: DataFrame) -> DataFrame:
     mixed = by_comp.groupBy("p").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp"))["comp"].alias("main"), parts).where("comps > 1").drop("comps")
     active = stored(named.join(mixed, "p"))
     posts = active.groupBy("node").agg(F.sort_array(F.collect_list("p")).alias("posts"))  # at most a prefix
-    of_node = posts.join(classes.select("node", *packed("sig")), "node")
+    of_node = posts.join(classes.select("node", *packed("sig"), *parities("odd")), "node")
     member = active.join(of_node, "node").withColumn("before", F.expr("slice(posts, 1, int(array_position(posts, p)) - 1)")).drop("posts")
     a, b = member.where("comp <> main").alias("a"), member.alias("b")
     once = ~F.arrays_overlap("a.before", "b.before")  # of the posts that both have, the first one pairs them
     other = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-    pair = a.join(b, (F.col("a.p") == F.col("b.p")) & other & size_fits(F.col("a.n"), F.col("b.n")) & (packed_matches() >= MIN_MATCHES) & once)
+    bits = lambda side: [F.col(f"{side}.o{i}") for i in range(PARITIES // 64)]
+    alike = size_fits(F.col("a.n"), F.col("b.n")) & (packed_matches() >= MIN_MATCHES) & sketches_allow(bits("a"), bits("b"), F.col("a.n"), F.col("b.n"))
+    pair = a.join(b, (F.col("a.p") == F.col("b.p")) & other & alike & once)
     rest = stored(pair.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.p").alias("p"), F.col("a.k").alias("k")))
     discard(star, post, active)
     nodes = first

@@ -91,6 +91,38 @@ def test_hot_posts_lose_no_link(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(150))
 
 
+def test_odd_sketches_never_differ_more_than_their_sets():
+    g = np.random.default_rng(5)
+    for n in (1, 20, 300, 5000):
+        a = np.unique(g.integers(0, 2**63, n, np.uint64))
+        b = np.unique(np.concatenate((a[g.random(len(a)) < 0.8], g.integers(0, 2**63, n // 5, np.uint64))))
+        differ = np.bitwise_count((op6_minhash.odd_sketch(a) ^ op6_minhash.odd_sketch(b)).view(np.uint64)).sum()
+        assert differ <= len(np.setxor1d(a, b))
+        assert not op6_minhash.odd_sketch(a[:0]).any()
+
+
+def test_near_copies_around_the_threshold(spark):
+    """A group of near copies, many of them somewhat too unlike: the components are those of all pairs."""
+    g = random.Random(8)
+    base = words(150, 13).split()
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for at in g.sample(range(150), g.randint(1, 9)):
+            w[at] = f"w{g.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        new = [min([label[i], *(label[j] for j, b in enumerate(sets) if 100 * len(a & b) >= 75 * len(a | b))]) for i, a in enumerate(sets)]
+        if new == label:
+            break
+        label = new
+    got = {r.doc_id: r.component_id for r in op6_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(label))
+    assert 20 < len(set(label)) < 200
+
+
 def test_rows_with_repeated_or_null_ids_are_dropped_by_row(spark):
     a, b, c, d, e = (words(80, 20 + i) for i in range(5))
     near = lambda t: t + " more"
