@@ -33,6 +33,11 @@ def quoted(value) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def pattern(value) -> str:
+    """A LIKE pattern in which a backslash stands for itself."""
+    return quoted(str(value).replace("\\", "\\\\"))
+
+
 def number(value):
     """The value as a number if it is one."""
     if isinstance(value, str):
@@ -51,11 +56,11 @@ def predicate(sql: str, expression: str, value=None, kind: str = "string", now:
     if expression in _COMPARE:
         return f"{sql} {_COMPARE[expression]} {lit(value)}"
     if expression == "like":
-        return f"{sql} LIKE {quoted(value)}"
+        return f"{sql} LIKE {pattern(value)}"
     plain, insensitive = expression.removesuffix("_case_insensitive"), expression.endswith("_case_insensitive")
     if plain in _PATTERN:
-        pattern = quoted(_PATTERN[plain].format(value))
-        test = f"LOWER({sql}) LIKE LOWER({pattern})" if insensitive else f"{sql} LIKE {pattern}"
+        like = pattern(_PATTERN[plain].format(value))
+        test = f"LOWER({sql}) LIKE LOWER({like})" if insensitive else f"{sql} LIKE {like}"
         return f"NOT ({test})" if plain.startswith("does_not") else test
     if expression == "is_null":
         return f"{sql} IS NULL"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.errors import QueryError
-from sparkloom.functions.filters import predicate
+from sparkloom.operators.merged import leaf_text
 from sparkloom.operators.single import ordered, parse_order
 from sparkloom.plans.joins import HOW
 
@@ -68,4 +68,4 @@ def post(p, c, columns: list[str]) -> str:
     if "conditions" in c:
         return f" {c.get('logical_operator', 'AND')} ".join(f"({post(p, x, columns)})" for x in c["conditions"])
     f = p.get_field(c["field"])
-    return predicate(f"`{column(p, c['field'], columns)}`", c["expression"], c.get("value"), f.value_type)
+    return leaf_text(f"`{column(p, c['field'], columns)}`", c, f.value_type)

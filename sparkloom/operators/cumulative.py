@@ -1,8 +1,9 @@
 """Cumulative metrics: running values over a date spine.
 
 Sums, counts, minima, maxima and averages run over per-period partial aggregates; distinct counts over
-first-seen dates. Only with cumulative_where are events met with the spine in a range join. Without a date
-dimension the value is that of the as-of date.
+first-seen dates. The spine is cut to the asked dates first, and what lies before them is in the first one's
+starting value. Only with cumulative_where are events, aggregated by period where the rule allows it, met with the
+spine in a range join. Without a date dimension the value is that of the as-of date, by one aggregation.
 """
 
 from __future__ import annotations
@@ -13,19 +14,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.errors import QueryError
+from sparkloom.functions.filters import parse_value, predicate
 from sparkloom.operators.merged import having_text
 from sparkloom.operators.single import SingleQuery, ordered, parse_order, walk
 from sparkloom.plans.project import FORMULAS, REFERENCE, Field
 
-SPINE_START = "2000-01-01"
+#: The spine's first day, and that of spines for as-of dates before it.
+SPINE_START, EARLY_START = "2000-01-01", "1900-01-01"
 FRAMES = ("date", "week", "month", "quarter", "year", "fiscal_month", "fiscal_quarter", "fiscal_year")
 
 
-def spine(engine, frame: str, start: str = SPINE_START) -> DataFrame:
+def first_day(engine) -> str:
+    return SPINE_START if f"{engine.now():%Y-%m-%d}" >= SPINE_START else EARLY_START
+
+
+def spine(engine, frame: str, start: str | None = None) -> DataFrame:
     """Days up to the as-of date, and the period of the timeframe that each lies in: (day, period), one row per period."""
     from sparkloom.functions.dates import timeframe
 
-    model = engine.project.model
+    model, start = engine.project.model, start or first_day(engine)
     days = engine.spark.range(1).select(F.explode(F.expr(f"sequence(date'{start}', date'{engine.now():%Y-%m-%d}', interval 1 day)")).alias("d"))
     period = timeframe("d", "date" if frame == "raw" else frame, model.get("week_start_day", "monday"), model.get("fiscal_month_offset", 0))
     return days.groupBy(F.expr(period).alias("period")).agg(F.max(F.col("d").cast("timestamp_ntz")).alias("day"))
@@ -104,54 +111,74 @@ def one(engine, m: Field, dims: list[Field], where: list, rest: dict) -> DataFra
     if any(e.relationship == "one_to_many" for e in q.joins):  # rows of the measures' views must not be counted twice
         raise QueryError(f"{m.id} can't be joined through a fan-out")
     keys = [f"__d{i}" for i in range(len(by))]
+    rows = rows.where("__t is not null")
     periods = spine(engine, frame)
+    for c in on_date if time else ():
+        found = [(c["expression"], c.get("value"))] if c.get("expression") and not c.get("_mini") else parse_value(c.get("value"), engine.now())
+        for e, x in found:
+            periods = periods.where(F.expr(predicate("period", e, x, "time", engine.now())))
     rule = m.data.get("cumulative_where")
     if rule:
         test = s.text(rule, m.view).replace("${cumulative_date}", "day")
         # the rule speaks of the event's date as a field: it is the rows' own
         test = test.replace(s.row(p.get_field(f"{date.view.name}.{date.name}_raw", check=False)), "__t").replace(s.row(event), "__t")
-        met = rows.join(F.broadcast(periods), F.expr(f"__t <= period AND ({test})"))  # the spine has a fixed number of days
-        grouped = met.groupBy(*keys, "period").agg(*[aggregate(a, f"__x{i}").alias(f"__v{i}") for i, a in enumerate(parts)])
+        if time is None:
+            periods = periods.where(F.col("period") == F.lit(f"{engine.now():%Y-%m-%d}").cast("timestamp_ntz"))
+        on_rows = any(f"{v}." in test for v in (q.base, *(e.right for e in q.joins)))
+        partial = rows if on_rows or not all(a.type in PARTIAL for a in parts) else per_period(rows, keys, parts)
+        met = partial.join(F.broadcast(periods), F.expr(f"__t <= period AND ({test})"))  # the spine has a fixed number of days
+        of = aggregate if partial is rows else total
+        out = met.groupBy(*keys, "period").agg(*[of(a, i).alias(f"__v{i}") for i, a in enumerate(parts)])
+    elif time is None:
+        now = F.lit(f"{engine.now():%Y-%m-%d}").cast("timestamp_ntz")
+        out = rows.where(F.col("__t") <= now).groupBy(*keys).agg(*[aggregate(a, i).alias(f"__v{i}") for i, a in enumerate(parts)])
     else:
-        first = F.expr(s.row(event).replace(s.row(date), f"timestamp_ntz'{SPINE_START}'"))
-        grouped = running(rows.withColumn("__t", F.greatest("__t", first)), keys, parts, periods)  # what lies before the spine is in its first period
-    out = grouped
-    if time is None:
-        last = Window.partitionBy(*keys).orderBy(F.desc("period")) if keys else Window.orderBy(F.desc("period"))
-        out = out.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")
-        out = out.where(F.col("period").isNotNull())
-    else:
-        for c in on_date:
-            from sparkloom.functions.filters import predicate
-
-            out = out.where(F.expr(predicate("period", c["expression"], c.get("value"), "time", engine.now())))
+        bounds = periods.agg(F.min("period").alias("__lo"), F.max("period").alias("__hi"))  # one row
+        inside = rows.crossJoin(F.broadcast(bounds)).where("__t <= __hi").withColumn("__t", F.greatest("__t", "__lo")).drop("__lo", "__hi")
+        out = running(inside, keys, parts, periods)
     values = {a.id: f"`__v{i}`" for i, a in enumerate(parts)}
     value = values[inner.id] if inner.id in values else REFERENCE.sub(lambda x: values[p.get_field(x[1], inner.view, check=False).id], inner.sql)
     named = [F.col(k).alias(d.column) for k, d in zip(keys, by, strict=True)] + ([F.col("period").alias(time.column)] if time else [])
     return out.select(*named, F.expr(value).alias(m.column))
 
 
-def aggregate(a: Field, x: str):
+#: Measures that can be put together from partial aggregates.
+PARTIAL = ("sum", "count", "average", "min", "max")
+
+
+def aggregate(a: Field, i: int):
+    """Measure number i over rows."""
     kinds = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "average": F.avg, "count_distinct": F.count_distinct, "median": F.median}
     if a.type not in kinds:
         raise QueryError(f"{a.id}: a {a.type} can't be cumulative")
-    return kinds[a.type](F.col(x))
+    return kinds[a.type](F.col(f"__x{i}"))
 
 
-def running(rows: DataFrame, keys: list[str], parts: list[Field], periods: DataFrame) -> DataFrame:
-    """Per-period partial aggregates, spread over each group's spine from its first event on, then running windows."""
+def total(a: Field, i: int):
+    """Measure number i over the rows of per_period."""
+    s, c = F.col(f"__s{i}"), F.col(f"__c{i}")
+    return {"sum": lambda: F.sum(s), "min": lambda: F.min(s), "max": lambda: F.max(s), "count": lambda: F.sum(c), "average": lambda: F.sum(s) / F.nullif(F.sum(c), F.lit(0))}[a.type]()
+
+
+def per_period(rows: DataFrame, keys: list[str], parts: list[Field]) -> DataFrame:
+    """Partial aggregates by keys and __t: sums, minima and maxima as __s, counts as __c."""
     aggs = []
     for i, a in enumerate(parts):
         x = F.col(f"__x{i}")
-        if a.type not in ("sum", "count", "average", "min", "max", "count_distinct"):
-            raise QueryError(f"{a.id}: a {a.type} can't be cumulative")
         if a.type in ("sum", "average"):
             aggs.append(F.sum(x).alias(f"__s{i}"))
         if a.type in ("count", "average"):
             aggs.append(F.count(x).alias(f"__c{i}"))
         if a.type in ("min", "max"):
             aggs.append((F.min if a.type == "min" else F.max)(x).alias(f"__s{i}"))
-    per = rows.groupBy(*keys, "__t").agg(F.count(F.lit(1)).alias("__n"), *aggs)
+    return rows.groupBy(*keys, "__t").agg(F.count(F.lit(1)).alias("__n"), *aggs)
+
+
+def running(rows: DataFrame, keys: list[str], parts: list[Field], periods: DataFrame) -> DataFrame:
+    """Per-period partial aggregates, spread over each group's spine from its first event on, then running windows."""
+    if bad := next((a for a in parts if a.type not in (*PARTIAL, "count_distinct")), None):
+        raise QueryError(f"{bad.id}: a {bad.type} can't be cumulative")
+    per = per_period(rows, keys, parts)
     for i, a in enumerate(parts):
         if a.type == "count_distinct":  # a value counts from its first period on
             first = rows.where(F.col(f"__x{i}").isNotNull()).groupBy(*keys, f"__x{i}").agg(F.min("__t").alias("__t")).groupBy(*keys, "__t").agg(F.count(F.lit(1)).alias(f"__s{i}"))

@@ -55,8 +55,9 @@ def stepped(q: SingleQuery, funnel: dict, date: Field, link: Field) -> DataFrame
     rows = q.rows()
     ts, key = q.scope.row(date), q.scope.row(link)
     rows = rows.withColumn("__ts", F.expr(f"cast({ts} as timestamp_ntz)")).withColumn("__at", F.expr("unix_micros(cast(__ts as timestamp))")).withColumn("__link", F.expr(key))
-    # a null entity follows no other
-    earlier = Window.partitionBy("__link").orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
+    # a null entity follows no other, so such rows are dealt out by time
+    dealt = F.when(F.col("__link").isNull(), F.xxhash64("__at"))
+    earlier = Window.partitionBy("__link", dealt).orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
     steps = [F.expr(q.sql_of(conditions(s))) for s in funnel["steps"]]
     rows = rows.withColumn("__s1", F.when(steps[0], F.col("__ts")))
     within = int(funnel["within"]["value"])
@@ -74,8 +75,7 @@ def _query(engine, funnel: dict, **args) -> tuple[SingleQuery, Field, Field]:
     from sparkloom.operators.single import walk
 
     views = [v for c in walk(leaves) if "field" in c for v in q.project.get_field(c["field"]).views()]
-    required = [*q.required(), *date.views(), *link.views(), *views]
-    q.base, q.joins = q.project.graph.plan(required, q.topic)
+    q.plan([*date.views(), *link.views(), *views])
     return q, date, link
 
 
@@ -84,17 +84,28 @@ def build_funnel(engine, funnel: dict, metrics=(), dimensions=(), where=None, ha
     funnel = checked(funnel)
     q, date, link = _query(engine, funnel, metrics=metrics, dimensions=dimensions, where=where, topic=topic)
     extra = [q.project.get_field(c["field"]) for c in ([having] if isinstance(having, dict) else having or []) if isinstance(c, dict) and "field" in c]
-    rows = stepped(q, funnel, date, link)
-    out = None
-    for i in range(1, len(funnel["steps"]) + 1):
-        part = q.grouped(rows.where(f"__s{i} is not null"), extra).select(F.lit(f"Step {i}").alias("step"), F.lit(i).alias("step_order"), "*")
-        out = part if out is None else out.unionByName(part)
+    out = by_step(q, stepped(q, funnel, date, link), len(funnel["steps"]), extra).withColumn("step", F.concat(F.lit("Step "), F.col("step_order")))
     for c in [having] if isinstance(having, (dict, str)) else having or []:
         out = out.where(F.expr(having_text(q.project, c)))
     named = [(n if n in ("step", "step_order") else q.project.get_field(n).column, way) for n, way in parse_order(order_by)]
     return ordered(out, named, limit).select("step", "step_order", *[f"`{m.column}`" for m in q.metrics], *[f"`{d.column}`" for d in q.dims])
 
 
+def by_step(q: SingleQuery, rows: DataFrame, steps: int, extra: list[Field]) -> DataFrame:
+    """The query's groups for each step, with step_order: a row is repeated for the steps it took, and all are aggregated at once."""
+    taken = F.array(*[F.when(F.col(f"__s{i}").isNotNull(), F.lit(i)) for i in range(1, steps + 1)])
+    rows = rows.withColumn("step_order", F.explode(F.array_compact(taken)))
+    none = None if q.dims else q.grouped(rows.where(F.lit(False)), extra)
+    q.raw, q.scope.dims = ["step_order"], [*q.scope.dims, "step_order"]
+    out = q.grouped(rows, extra)
+    if none is None:
+        return out
+    # without dimensions a step that no row took has its row too: that of an aggregate of nothing
+    every = q.engine.spark.range(1, steps + 1).select(F.col("id").cast("int").alias("step_order"))
+    missing = every.join(out.select("step_order"), "step_order", "left_anti").crossJoin(F.broadcast(none))  # one row
+    return out.unionByName(missing)
+
+
 def converted(outer: SingleQuery, c: dict) -> DataFrame:
     """Entities that took step `from` (whether they took step `to` decides): column __key.
 

@@ -13,7 +13,10 @@ from sparkloom.plans.project import REFERENCE, Field
 
 
 def build_merged(engine, metrics, dimensions, where=None, having=None, order_by=None, limit=None, funnel=None, topic=None, **_) -> DataFrame:
-    """Sub-queries are joined to the first, in order of their names, on equal dimensions (NULLs never match)."""
+    """Sub-queries are joined to the first, in order of their names, on equal dimensions (NULLs never match).
+
+    A topic holds in the sub-queries, with its filters, unless a metric is itself a merged one or a field is not in the topic.
+    """
     if funnel:
         raise QueryError("a merged result can't have a funnel")
     p = engine.project
@@ -37,12 +40,15 @@ def build_merged(engine, metrics, dimensions, where=None, having=None, order_by=
         groups.setdefault(key, []).append(a)
     keys = sorted(groups)
     dims = [get(d) for d in dimensions]
+    chosen = (p.topic(topic) if isinstance(topic, str) else topic) if topic and not any(m.is_merged() for m in wanted) else None
     frames, names = [], []
     for k in keys:
         own = [translate(p, d, groups[k], [g for j in keys for g in groups[j]]) for d in dims]
         conditions = [condition_for(p, c, groups[k]) for c in ([where] if isinstance(where, (str, dict)) else where or [])]
         unique = list({repr(c): c for c in conditions}.values())
-        frames.append(engine.query(metrics=[a.id for a in groups[k]], dimensions=[d.id for d in own], where=unique, single_query=True, force_group_by=True))
+        views = {v for f in (*groups[k], *own, *(p.get_field(c["field"]) for c in walk(unique) if isinstance(c, dict) and "field" in c)) for v in f.views()}
+        inside = topic if chosen and views <= set(chosen.views()) else None
+        frames.append(engine.query(metrics=[a.id for a in groups[k]], dimensions=[d.id for d in own], where=unique, topic=inside, single_query=True, force_group_by=True))
         names.append([d.column for d in own])
     if not dims:
         out = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), frames)  # one row each
@@ -66,14 +72,20 @@ def build_merged(engine, metrics, dimensions, where=None, having=None, order_by=
 
 
 def having_text(p, c) -> str:
-    from sparkloom.functions.filters import predicate
-
     if isinstance(c, str):
         return REFERENCE.sub(lambda m: f"`{p.get_field(m[1]).column}`", c)
     if "conditions" in c:
         return f" {c.get('logical_operator', 'AND')} ".join(f"({having_text(p, x)})" for x in c["conditions"])
     f = p.get_field(c["field"])
-    return predicate(f"`{f.column}`", c["expression"], c.get("value"), f.value_type)
+    return leaf_text(f"`{f.column}`", c, f.value_type)
+
+
+def leaf_text(column: str, c: dict, kind: str) -> str:
+    """One condition on a column: an expression with its value, or a value in the filters' own language."""
+    from sparkloom.functions.filters import parse_value, predicate
+
+    found = [(c["expression"], c.get("value"))] if c.get("expression") else parse_value(c.get("value"))
+    return " AND ".join(predicate(column, e, x, kind) for e, x in found) or "TRUE"
 
 
 def formula(p, m: Field) -> str:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -63,7 +64,8 @@ class SingleQuery:
         self.row_level = bool(pk and any(d.id == pk.id for d in self.dims) and not force_group_by)
         if self.row_level and (self.having or self.order_by):
             raise QueryError("a row-level query takes neither having nor order_by")
-        self.base, self.joins = self.project.graph.plan(self.required(), self.topic)
+        self.given = self.where
+        self.plan()
         self.scope.protected = None if protect_all else protected_views(self.base, self.joins, self.topic) if self.joins else set()
         self.scope.dims = [self.scope.row(d) for d in self.dims] + [strip_alias(r) for r in self.raw]
 
@@ -99,7 +101,17 @@ class SingleQuery:
                     out.append({"field": name, "value": user[a["user_attribute"]], "_mini": True})
         return out
 
-    def required(self) -> list[str]:
+    def plan(self, extra: list[str] = ()) -> None:
+        """Join all views that the query needs, `extra` ones included, under the access filters of every one of them."""
+        views = self.required() | dict.fromkeys(extra)
+        found = self.access_filters(list(views))
+        for c in found:
+            views |= dict.fromkeys(self.field_of(c).views())
+        self.where = [*self.given, *found]
+        self.base, self.joins = self.project.graph.plan(list(views), self.topic)
+
+    def required(self) -> dict[str, None]:
+        """Names of the views that the query's fields depend on."""
         views: dict[str, None] = {}
         for f in (*self.metrics, *self.dims):
             views |= dict.fromkeys(f.views())
@@ -123,11 +135,7 @@ class SingleQuery:
                 views |= dict.fromkeys(self.project.get_field(name, topic=self.topic).views())
         if not views:
             raise QueryError("a query needs metrics or dimensions")
-        found = self.access_filters(list(views))
-        for c in found:
-            views |= dict.fromkeys(self.field_of(c).views())
-        self.where += found
-        return list(views)
+        return views
 
     # ---- predicates
 
@@ -231,13 +239,13 @@ class SingleQuery:
     def view_frame(self, name: str) -> DataFrame:
         """A view's rows under its alias, with window dimensions computed before any filter."""
         df = self.engine.scan(name)
-        windows = {f.id: f for f in self._windows() if f.view.name == name}
-        for f in windows.values():
-            others = [v for v in f.views() if v != name]
-            if others:
-                raise QueryError(f"the window dimension {f.id} refers to other views: {', '.join(others)}")
-            df = df.withColumn(window_column(f), F.expr(self.scope.text(f.sql, f.view))).alias(name)
-        return df
+        windows = [f for f in {f.id: f for f in self._windows()}.values() if f.view.name == name]
+        if not windows:
+            return df
+        for e in self.project.graph.plan_from(name, [v for f in windows for v in f.views()]):
+            df = df.join(self.engine.scan(e.right), F.expr(self.scope.text(e.on, self.project.all_views[e.left])), e.how)
+        columns = [F.expr(self.scope.text(f.sql, f.view)).alias(window_column(f)) for f in windows]
+        return df.select(f"{name}.*", *columns).alias(name)
 
     def _windows(self) -> list[Field]:
         found: dict[str, Field] = {}
@@ -267,8 +275,14 @@ class SingleQuery:
     def helpers(self, df: DataFrame) -> DataFrame:
         """Adds the columns that rendering asked for: non-additive dates and first-row markers."""
         for (choice, date, groups), column in self.scope.windows.items():
-            fn = F.min if choice == "min" else F.max
-            df = df.withColumn(column, fn(F.expr(date)).over(Window.partitionBy(*[F.expr(g) for g in groups])))
+            chosen = (F.min if choice == "min" else F.max)(F.expr(date)).alias(column)
+            if not groups:
+                df = df.crossJoin(F.broadcast(df.agg(chosen)))  # one row
+                continue
+            names = [f"{column}_{i}" for i in range(len(groups))]
+            dates = df.groupBy(*[F.expr(g).alias(n) for g, n in zip(groups, names, strict=True)]).agg(chosen)
+            same = reduce(Column.__and__, [F.expr(g).eqNullSafe(F.col(n)) for g, n in zip(groups, names, strict=True)])
+            df = df.join(dates, same, "left").drop(*names)
         for partition, column in self.scope.markers.items():
             w = Window.partitionBy(*[F.expr(d) for d in self.scope.dims], *[F.expr(p) for p in partition]).orderBy(F.lit(1))
             df = df.withColumn(column, F.row_number().over(w))

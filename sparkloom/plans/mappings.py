@@ -35,12 +35,12 @@ def _replace(conditions, known: dict[str, str]):
     return out
 
 
-def resolve_mappings(p: Project, args: dict) -> tuple[dict, bool]:
-    """args with real fields for logical names, and whether only a merged result can answer."""
+def resolve_mappings(p: Project, args: dict, model: dict | None = None) -> tuple[dict, bool]:
+    """args with real fields for the logical names of the model (of all, if None), and whether only a merged result can answer."""
     aslist = lambda x: [x] if isinstance(x, (str, dict)) else list(x or [])
     order = args["order_by"] if not isinstance(args["order_by"], str) else None
     used = [*args["dimensions"], *_names(aslist(args["where"])), *[o if isinstance(o, str) else o["field"] for o in order or []]]
-    declared = p.mappings()
+    declared = p.mappings(model)
     logical = [n for n in dict.fromkeys(used) if "." not in n and (n in declared or n in DATE_NAMES) and not p.has_field(n)]
     if not logical:
         return args, False

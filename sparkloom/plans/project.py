@@ -396,8 +396,28 @@ class Project:
 
     # ---- mappings
 
-    def mappings(self) -> dict[str, list[str]]:
-        return {k: v["fields"] for m in self.models_data for k, v in (m.get("mappings") or {}).items()}
+    def mappings(self, model: dict | None = None) -> dict[str, list[str]]:
+        """Logical names and the fields that they stand for, of one model or of all."""
+        return {k: v["fields"] for m in ([model] if model else self.models_data) for k, v in (m.get("mappings") or {}).items()}
+
+    def get_model(self, name: str) -> dict:
+        found = next((m for m in self.models_data if m["name"] == name), None)
+        if found is None or not self.can_see(found):
+            raise AccessDeniedOrDoesNotExistException(f"Could not find or you do not have access to model {name}", name, "model")
+        return found
+
+    def model_for(self, names: list[str], model_name: str | None = None) -> dict:
+        """The model of a request: the named one, or the one that all its fields belong to. Logical names alone choose the model that maps most of them."""
+        if model_name:
+            return self.get_model(model_name)
+        if len(self.models_data) < 2:
+            return self.model
+        used = {self.model_of(self.get_field(n).view)["name"] for n in names if self.has_field(n)}
+        logical = [n for n in names if not self.has_field(n)]
+        maps = {m["name"]: sum(n in (m.get("mappings") or {}) for n in logical) for m in self.models_data}
+        if len(used) > 1 or (used and any(maps.values()) and not maps[next(iter(used))]):
+            raise QueryError(f"the fields belong to several models ({', '.join(sorted(used | {m for m, n in maps.items() if n}))}); name one as model_name")
+        return self.get_model(next(iter(used)) if used else max(maps, key=maps.__getitem__))
 
     def mapped(self, f: Field) -> list[str]:
         """Fields that stand for the same as f."""

@@ -8,7 +8,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.demo import engine
+from sparkloom.demo import dim, engine, metric
+from sparkloom.session import Engine
+from sparkloom.sources.seed import cardinality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -197,4 +199,159 @@ add("mql_joined_outer", "SELECT n_name, k FROM (SELECT c_nationkey, count(*) k F
 add("mql_funnel", _steps(["s1", "d2"]), build=lambda e: e.query(sql="SELECT * FROM MQL(events.events, events.value FOR events FUNNEL events.event_type = 'view' THEN events.event_type = 'click' WITHIN 3 days) f"))
 add("secure_view", "SELECT count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')", build=lambda e: e.secure("customers").groupBy().agg(F.count(F.lit(1)).alias("n")), user={"segments": "BUILDING, MACHINERY"})
 add("date_spine", "SELECT d::TIMESTAMP AS period FROM range(DATE '2000-01-01', DATE '2000-03-02', INTERVAL 1 DAY) t(d)", build=lambda e: __import__("sparkloom.operators.cumulative", fromlist=["spine"]).spine(e, "date").select("period"), now=datetime(2000, 3, 1))
-add("seed_cardinality", None, build=lambda e: __import__("sparkloom.sources.seed", fromlist=["cardinality"]).cardinality(e.tables("customer")))
+_CLASS = "SELECT '{c}' AS column_name, count(DISTINCT {c}) < 100 AS searchable FROM customer"
+add(
+    "seed_cardinality",
+    " UNION ALL ".join(_CLASS.format(c=c) for c in ("c_name", "c_mktsegment")),  # the classes of the approximate counts
+    build=lambda e: cardinality(e.tables("customer")).select("column_name", (F.col("n") < 100).alias("searchable")),
+)
+
+# ---- further joins, windows and filters; each changes the demo project for itself
+
+
+def changed(e: Engine, **objects) -> Engine:
+    """An engine over the demo project with some objects added or replaced."""
+    return Engine(e.spark, e.project.replaced(**objects), e.tables, e.clock)
+
+
+def view_with(e: Engine, view: str, *fields: dict, **more) -> dict:
+    """A view's definition with further fields."""
+    d = next(v for v in e.project.views_data if v["name"] == view)
+    return {**d, "fields": [*d["fields"], *fields], **more}
+
+
+add(
+    "join_inner",
+    "SELECT c_mktsegment AS customers_segment, count(*) AS paid_orders FROM orders JOIN customer ON o_custkey = c_custkey AND c_acctbal > 5000 GROUP BY 1",
+    build=lambda e: changed(
+        e,
+        views=[{
+            "name": "paid", "model_name": "shop", "sql_table_name": "orders",
+            "identifiers": [{"name": "to_customers", "type": "join", "reference": "customers", "relationship": "many_to_one", "join_type": "inner", "sql_on": "${paid.custkey} = ${customers.custkey} and ${customers.balance} > 5000"}],
+            "fields": [dim("orderkey", "${TABLE}.o_orderkey", "number", primary_key=True), dim("custkey", "${TABLE}.o_custkey", "number"), metric("orders", "count")],
+        }],
+    ).query(**q("paid.orders", "customers.segment")),
+)
+add(
+    "join_full_outer",
+    "SELECT r_name AS regions_name, count(s_suppkey) AS depots_depots FROM supplier FULL JOIN region ON s_suppkey * 2 = r_regionkey GROUP BY 1",
+    build=lambda e: changed(
+        e,
+        views=[{
+            "name": "depots", "model_name": "shop", "sql_table_name": "supplier",
+            "identifiers": [{"name": "to_regions", "type": "join", "reference": "regions", "relationship": "many_to_one", "join_type": "full_outer", "sql_on": "${depots.suppkey} * 2 = ${regions.regionkey}"}],
+            "fields": [dim("suppkey", "${TABLE}.s_suppkey", "number", primary_key=True), metric("depots", "count")],
+        }],
+    ).query(**q("depots.depots", "regions.name")),
+)
+_STATUS = "SELECT o_custkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS st, count(*) AS n FROM orders GROUP BY 1, 2"
+add(
+    "join_composite_key",
+    f"SELECT s.n AS habits_n, count(*) AS own_orders FROM orders o LEFT JOIN ({_STATUS}) s ON o.o_custkey = s.o_custkey AND o.o_orderstatus = s.st GROUP BY 1",
+    build=lambda e: changed(
+        e,
+        views=[
+            {
+                "name": "habits", "model_name": "shop", "derived_table": {"sql": _STATUS},
+                "identifiers": [{"name": "habit", "type": "primary", "identifiers": [{"name": "custkey", "sql": "${TABLE}.o_custkey"}, {"name": "status", "sql": "${TABLE}.st"}]}],
+                "fields": [dim("key", "concat_ws('|', ${TABLE}.o_custkey, ${TABLE}.st)", primary_key=True), dim("n", "${TABLE}.n", "number")],
+            },
+            {
+                "name": "own", "model_name": "shop", "sql_table_name": "orders",
+                "identifiers": [{"name": "habit", "type": "foreign", "identifiers": [{"name": "custkey", "sql": "${TABLE}.o_custkey"}, {"name": "status", "sql": "${TABLE}.o_orderstatus"}]}],
+                "fields": [dim("orderkey", "${TABLE}.o_orderkey", "number", primary_key=True), metric("orders", "count")],
+            },
+        ],
+    ).query(**q("own.orders", "habits.n")),
+)
+add(
+    "join_allowed_fanouts",
+    "SELECT o_orderstatus AS orders_status, count(DISTINCT event_id) AS events_events FROM events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
+    build=lambda e: changed(e, views=[view_with(e, "customers", identifiers=[{"name": "customer_id", "type": "primary", "sql": "${custkey}", "allowed_fanouts": ["orders"]}])]).query(**q("events.events", "orders.status")),
+)
+_KIND = "SELECT *, CASE WHEN event_type <> 'error' THEN event_type END AS kind FROM events"
+_LAST = {"name": "event_raw", "window_choice": "max", "window_groupings": ["kind"]}
+_KINDS = "WITH e AS ({k}), m AS (SELECT kind, max(ts) t FROM e GROUP BY 1) SELECT {v} AS events_last_of_kind FROM e JOIN m ON {on}"
+
+
+def _last_of_kind(e: Engine, **more) -> DataFrame:
+    kind = dim("kind", "CASE WHEN ${TABLE}.event_type <> 'error' THEN ${TABLE}.event_type END")
+    last = metric("last_of_kind", "sum", "${TABLE}.value", non_additive_dimension={**_LAST, **more})
+    return changed(e, views=[view_with(e, "events", kind, last)]).query(**q("events.last_of_kind"))
+
+
+_VALUE = R("sum(CASE WHEN ts = t THEN value ELSE 0 END)")
+add("nonadd_nulls_equal", _KINDS.format(k=_KIND, v=_VALUE, on="e.kind IS NOT DISTINCT FROM m.kind"), build=lambda e: _last_of_kind(e, nulls_are_equal=True))
+add("nonadd_nulls_differ", _KINDS.format(k=_KIND, v=_VALUE, on="e.kind = m.kind"), build=_last_of_kind)
+add(
+    "nonadd_min_count",
+    "WITH m AS (SELECT event_type, min(date_trunc('day', ts)) t FROM events GROUP BY 1) SELECT e.event_type AS events_event_type, count(CASE WHEN date_trunc('day', ts) = t THEN event_id END) AS events_first_events FROM events e JOIN m USING (event_type) GROUP BY 1",
+    build=lambda e: changed(e, views=[view_with(e, "events", metric("first_events", "count", "${event_id}", non_additive_dimension={"name": "event_date", "window_choice": "min"}))]).query(**q("events.first_events", "events.event_type")),
+)
+add(
+    "merged_mapped_dim",
+    "SELECT coalesce(e.k, o.k) AS events_letter, coalesce(e.k, o.k) AS orders_status, e.n AS events_events, o.n AS orders_orders FROM (SELECT upper(event_type[1]) k, count(*) n FROM events GROUP BY 1) e FULL JOIN (SELECT o_orderstatus k, count(*) n FROM orders GROUP BY 1) o ON e.k = o.k",
+    build=lambda e: changed(
+        e,
+        models=[{**e.project.model, "mappings": {"letter": {"fields": ["events.letter", "orders.status"]}}}],
+        views=[view_with(e, "events", dim("letter", "upper(substr(${TABLE}.event_type, 1, 1))"))],
+    ).query(**q("orders.orders events.events", "orders.status"), merged_result=True),
+)
+add(
+    "window_two_views",
+    "WITH o AS (SELECT orders.*, lag(o_orderpriority) OVER (PARTITION BY c_custkey ORDER BY o_orderdate, o_orderkey) p FROM orders LEFT JOIN customer ON o_custkey = c_custkey), c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) s FROM customer) "
+    "SELECT p AS orders_previous_priority, s = 1 AS customers_is_nation_first, count(*) AS orders_orders FROM o LEFT JOIN c ON o_custkey = c_custkey GROUP BY 1, 2",
+    build=lambda e: changed(
+        e,
+        views=[
+            view_with(e, "orders", dim("previous_priority", "lag(${priority}) over (partition by ${customers.custkey} order by ${order_raw}, ${orderkey})", window=True)),
+            view_with(e, "customers", dim("nation_sequence", "row_number() over (partition by ${TABLE}.c_nationkey order by ${custkey})", "number", window=True), dim("is_nation_first", "${nation_sequence} = 1", "yesno")),
+        ],
+    ).query(**q("orders.orders", "orders.previous_priority customers.is_nation_first")),
+)
+
+
+def _two_models(e: Engine) -> Engine:
+    shop = {**e.project.model, "mappings": {"kind": {"fields": ["orders.status"]}}}
+    return changed(e, models=[shop, {"name": "web", "mappings": {"kind": {"fields": ["events.event_type"]}}}], views=[view_with(e, "events", model_name="web")])
+
+
+add("model_of_fields", "SELECT event_type AS events_event_type, count(*) AS events_events FROM events GROUP BY 1", build=lambda e: _two_models(e).query(**q("events.events", "kind")))
+add("model_by_name", "SELECT o_orderstatus AS orders_status, count(*) AS orders_orders FROM orders GROUP BY 1", build=lambda e: _two_models(e).query(**q("orders.orders", "kind"), model_name="shop"))
+_SEEN = "WITH ev AS (SELECT e.*, c_mktsegment g FROM events e LEFT JOIN customer ON user_id = c_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')), s1 AS (SELECT *, ts AS t1 FROM ev WHERE event_type = 'view' AND g IN ('BUILDING', 'AUTOMOBILE')), s2 AS (SELECT DISTINCT e.* FROM ev e JOIN s1 ON e.user_id = s1.user_id AND s1.ts < e.ts AND datediff('day', s1.t1, e.ts) <= 3 WHERE e.event_type = 'click') "
+_seen_steps = [[*_step("view"), {"field": "customers.segment", "expression": "isin", "value": ["BUILDING", "AUTOMOBILE"]}], _step("click")]
+add(
+    "funnel_access_filter",
+    f"{_SEEN}SELECT 'Step 1' AS step, 1 AS step_order, count(*) AS events_events FROM s1 UNION ALL SELECT 'Step 2', 2, count(*) FROM s2",
+    {**q("events.events"), "funnel": {"steps": _seen_steps, "within": {"value": 3, "unit": "day"}}},
+    user={"segments": "BUILDING, MACHINERY"},
+)
+add(
+    "funnel_empty_step",
+    f"{_F}SELECT 'Step 1' AS step, 1 AS step_order, count(*) AS events_events, {R('sum(value)')} AS events_value FROM s1 UNION ALL SELECT 'Step 2', 2, NULL, 0",
+    {**q("events.events events.value"), "funnel": {"steps": [_step("view"), _step("none such")], "within": {"value": 3, "unit": "day"}}},
+)
+_OF_F = f"SELECT DISTINCT o_orderkey, o_totalprice, date_trunc('month', o_orderdate)::TIMESTAMP m FROM {LO} WHERE o_orderstatus = 'F'"
+add(
+    "merged_topic_filter",
+    f"SELECT coalesce(l.m, o.m) AS lineitem_ship_month, coalesce(l.m, o.m) AS orders_order_month, {R('l.v')} AS lineitem_revenue, {R('o.v')} AS orders_total_price FROM (SELECT date_trunc('month', l_shipdate)::TIMESTAMP m, sum(l_extendedprice) v FROM {LO} WHERE o_orderstatus = 'F' GROUP BY 1) l FULL JOIN (SELECT m, sum(o_totalprice) v FROM ({_OF_F}) GROUP BY 1) o ON l.m = o.m",
+    build=lambda e: changed(e, topics=[{"name": "finished", "base_view": "lineitem", "views": {"orders": {}}, "always_filter": [{"field": "orders.status", "value": "F"}]}]).query(**q("lineitem.revenue orders.total_price", "orders.order_month"), merged_result=True, topic="finished"),
+)
+add(
+    "cumulative_early_clock",
+    f"SELECT s.y AS orders_order_year, {R('sum(o_totalprice)')} AS orders_running_price FROM (SELECT make_timestamp(y, 1, 1, 0, 0, 0) y FROM range(1995, 1999) t(y)) s JOIN orders ON date_trunc('year', o_orderdate) <= s.y GROUP BY 1",
+    q("orders.running_price", "orders.order_year"),
+    now=datetime(1998, 8, 15, 12),
+)
+_RANGE = [{"field": "orders.order_month", "expression": "greater_or_equal_than", "value": "2000-06-01"}, {"field": "orders.order_month", "expression": "less_than", "value": "2000-10-01"}]
+add(
+    "cumulative_range",
+    _cum.format(g="o_orderstatus AS orders_status,", v=f"{R('sum(o_totalprice)')} AS orders_running_price, count(DISTINCT o_custkey) AS orders_running_buyers", n="1, 2").replace("GROUP BY", "WHERE s.d >= DATE '2000-06-01' AND s.d < DATE '2000-10-01' GROUP BY", 1),
+    q("orders.running_price orders.running_buyers", "orders.status orders.order_month", where=_RANGE),
+    now=_LATE,
+)
+add(
+    "filter_expr_contains_backslash",
+    "SELECT o_orderstatus AS orders_status, count(*) AS orders_orders FROM orders WHERE NOT o_orderpriority LIKE '%\\U_%' GROUP BY 1",
+    q("orders.orders", "orders.status", where=[{"field": "orders.priority", "expression": "does_not_contain", "value": "\\U_"}]),
+)

@@ -65,14 +65,17 @@ class Engine:
     # ---- queries
 
     def query(self, metrics=(), dimensions=(), where=None, having=None, order_by=None, limit=None, *, funnel=None, merged_queries=None, sql=None, topic=None, merged_result=None, single_query=False, force_group_by=False, select_raw_sql=None, model_name=None) -> DataFrame:
-        """Exactly one of: metrics and dimensions, merged_queries, sql (with MQL)."""
+        """Exactly one of: metrics and dimensions, merged_queries, sql (with MQL).
+
+        model_name: whose mappings hold; by default that of the fields' views.
+        """
         if sql is not None:
             return self.mql(sql)
         if merged_queries:
             return build_arbitrary(self, merged_queries, where, having, order_by, limit)
         args = {"metrics": list(metrics), "dimensions": list(dimensions), "where": where, "having": having, "order_by": order_by, "limit": limit, "topic": topic}
-        args, forced = resolve_mappings(self.project, args)
         p = self.project
+        args, forced = resolve_mappings(p, args, p.model_for([*args["metrics"], *args["dimensions"]], model_name))
         chosen = [p.get_field(m, topic=p.topic(topic) if isinstance(topic, str) else topic) for m in args["metrics"]]
         if not single_query and (merged_result or forced or any(m.is_merged() and not m.is_cumulative() for m in chosen)):
             return build_merged(self, **args, funnel=funnel)
@@ -99,13 +102,17 @@ class Engine:
 
     def mql(self, sql: str) -> DataFrame:
         """SQL in which FROM MQL(...) stands for a metric request."""
-        text = sql
-        while (found := split_mql(text)) is not None:
-            before, inner, after = found
-            name = f"mql_{uuid.uuid4().hex[:12]}"
-            self.query(**Mql(inner, self.project).request()).createOrReplaceTempView(name)
-            text = f"{before}{name}{after}"
-        return self.spark.sql(text.rstrip().rstrip(";"))
+        text, names = sql, []
+        try:
+            while (found := split_mql(text)) is not None:
+                before, inner, after = found
+                names.append(name := f"mql_{uuid.uuid4().hex[:12]}")
+                self.query(**Mql(inner, self.project).request()).createOrReplaceTempView(name)
+                text = f"{before}{name}{after}"
+            return self.spark.sql(text.rstrip().rstrip(";"))  # analysed here, so the views can go
+        finally:
+            for name in names:
+                self.spark.catalog.dropTempView(name)
 
     # ---- listings
 

@@ -19,6 +19,8 @@ SOME = [
     "simple_all_aggs", "median_percentile", "tier_dim", "measure_filters", "filter_or_nested", "is_not_in_query", "nested_subquery_filter", "entity_filter", "join_multi_hop", "join_as_twice", "join_theta", "fanout_sum_count_avg", "fanout_two_views",
     "sum_distinct_key", "window_dim", "window_measure_ratio", "nonadd_max", "nonadd_grouping", "merged_two", "merged_three_star", "merged_formula", "mapping_date_merged", "arb_merge_three", "cumulative_month", "cumulative_where", "funnel_three_dims", "funnel_filter_dropped_off",
     "topic_from_alias", "topic_fanout", "mql_funnel", "mql_joined_outer", "timezone_hour", "week_start_sunday", "duration_weeks", "access_filter",
+    "join_inner", "join_full_outer", "join_composite_key", "join_allowed_fanouts", "nonadd_nulls_equal", "nonadd_nulls_differ", "nonadd_min_count", "nonadd_ignore_dims", "merged_mapped_dim", "window_two_views", "model_of_fields", "model_by_name", "funnel_access_filter", "funnel_empty_step", "funnel_two",
+    "merged_topic_filter", "cumulative_early_clock", "cumulative_range", "cumulative_total", "cumulative_by_dim", "filter_expr_contains_backslash", "seed_cardinality",
 ]
 
 
