@@ -1,16 +1,16 @@
 """Personal data: exact base patterns, and a skip-chain conditional random field that adds spans.
 
 Base spans follow fixed patterns. The field's nodes are a text's tokens that hold a digit or '@'. Successive
-nodes that are close are chained; each node is also joined, at whatever distance, with
-the previous one of the same normal form (its letters and digits in lower case), so
-repetitions of a token share potentials across the document. Loopy sum-product runs ROUNDS
-sweeps on log messages; labels whose marginal is at least SURE become spans where no base span
-lies. Potentials (node features, chain and skip label pairs) are trained by pseudo-likelihood
-on generated, labelled lines; base matches are features of the nodes.
+nodes that are close are chained; all nodes of one normal form (letters and digits in lower case),
+at whatever distance, are joined with a node of their form, so repetitions of a token share
+potentials across the document, and what one shows reaches all others in two steps. Loopy sum-product
+on log messages runs until they settle, at most ROUNDS sweeps; labels whose marginal is at least SURE
+become spans where no base span lies. Potentials (node features, chain and skip label pairs) are trained
+once, on the driver, by pseudo-likelihood on generated, labelled lines; base matches are features of the nodes.
 
 Defined cases: null and empty texts have no spans; texts without digit and '@' are passed over,
-as no pattern or node is possible; very long texts are handled whole, with two edges a node at most
-towards earlier ones; repeated rows and null doc_ids give a row each; extra columns are ignored; an
+as no pattern or node is possible; very long texts are handled whole, with two edges a node at most;
+digit runs of any length are fine; repeated rows and null doc_ids give a row each; extra columns are ignored; an
 empty table gives no rows.
 """
 
@@ -29,7 +29,9 @@ from sparkloom.llm.common import table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("none", *KINDS)
-ROUNDS, SURE, NEAR = 6, 0.95, 2
+ROUNDS, SURE, NEAR = 60, 0.95, 2
+#: Messages have settled when none changes by more than this.
+SETTLED = 1e-3
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -62,7 +64,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         at = text.find("@", free)
     if any(c in text for c in "0123456789"):
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+            parts = [x.lstrip("0") for x in m[0].split(".")]
+            if all(len(x) < 3 or len(x) == 3 and int(x) <= 255 for x in parts):
                 out.append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             d = m[0].replace(" ", "").replace("-", "")
@@ -105,22 +108,21 @@ def _features(body: str, context: str, base: int) -> np.ndarray:
     n = len(body)
     context = context.lower()
     x = [1.0, *(base == k for k in range(len(KINDS))), "@" in body, body.count(".") == 3, d == n, d and a and d + a == n, bool(re.fullmatch(r"[0-9a-fA-F]{12,}", body)) and a > 0, bool(re.fullmatch(r"[A-Z0-9]{16,}", body)) and a > 0]
-    x += [n >= 16, 8 <= n < 16, n < 5, d >= 13, 7 <= d < 13, d < 7, body[:1] == "+", "-" in body]
+    x += [n >= 16, 8 <= n < 16, n < 5, d >= 13, 7 <= d < 13, d < 7, body[:1] == "+", "-" in body, d == n and 13 <= n <= 19 and body.isascii() and luhn(body)]
     x += [c in context for c in _CUES]
     return np.array(x, float)
 
 
 def _edges(nodes: list[tuple[int, int, str, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Chain and skip edges, as pairs (earlier, later)."""
+    """Chain edges as pairs (earlier, later), and skip edges as pairs (node, form); forms that occur again are numbered after the nodes."""
     chain = [(i - 1, i) for i in range(1, len(nodes)) if nodes[i][0] - nodes[i - 1][1] <= NEAR]
-    last: dict[str, int] = {}
-    skip = []
+    places: dict[str, list[int]] = {}
     for i, x in enumerate(nodes):
         form = _SIGNIFICANT.sub("", x[2].lower())
         if len(form) >= 6:
-            if form in last:
-                skip.append((last[form], i))
-            last[form] = i
+            places.setdefault(form, []).append(i)
+    again = [p for p in places.values() if len(p) > 1]
+    skip = [(i, len(nodes) + k) for k, p in enumerate(again) for i in p]
     return np.array(chain, int).reshape(-1, 2), np.array(skip, int).reshape(-1, 2)
 
 
@@ -146,6 +148,10 @@ def _lines(seed: int, n: int):
         d = digits(15)
         return next(d + c for c in "0123456789" if luhn(d + c))
 
+    def no_card() -> str:
+        d = digits(g.randint(12, 18))
+        return next(d + c for c in g.sample("0123456789", 2) if not luhn(d + c))
+
     hexa = lambda: "".join(g.choice("0123456789abcdef") for _ in range(g.randint(16, 40)))
     code = lambda: "".join(g.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(g.randint(16, 24)))
     make = {
@@ -188,7 +194,7 @@ def _lines(seed: int, n: int):
                 put(v := code() + "7A", "secret")
                 known.append(("secret", v))
             else:
-                put(g.choice((digits(g.randint(1, 6)), f"{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{word()}{digits(2)}", digits(g.randint(1, 3)) + ",", f"v{digits(1)}.{digits(1)}.{digits(1)}", digits(1) + word(), "4.0.", f"@{word()}")))
+                put(g.choice((no_card(), digits(g.randint(1, 6)), f"{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{word()}{digits(2)}", digits(g.randint(1, 3)) + ",", f"v{digits(1)}.{digits(1)}.{digits(1)}", digits(1) + word(), "4.0.", f"@{word()}")))
         yield " ".join(parts), marks
 
 
@@ -204,10 +210,17 @@ def potentials(seed: int = 8, lines: int = 800, steps: int = 300, penalty: float
         base = _base_of(nodes, base_spans(text))
         y = np.array([next((LABELS.index(k) for s, e, k in marks if s < x[1] and e > x[0]), 0) for x in nodes])
         near, far = np.zeros((2, len(nodes), len(LABELS)))
-        for total, edges in zip((near, far), _edges(nodes), strict=True):
-            for a, b in edges:
-                total[a] += eye[y[b]]
-                total[b] += eye[y[a]]
+        chain, skip = _edges(nodes)
+        for a, b in chain:
+            near[a] += eye[y[b]]
+            near[b] += eye[y[a]]
+        forms: dict[int, list[int]] = {}
+        for i, form in skip.tolist():
+            forms.setdefault(form, []).append(i)
+        for members in forms.values():  # a form's label, for each member, is that of most others
+            counts = eye[y[members]].sum(0)
+            for i in members:
+                far[i] = eye[(counts - eye[y[i]]).argmax()]
         xs.append(np.array([_features(x[2], x[3], k) for x, k in zip(nodes, base, strict=True)]))
         chains.append(near)
         skips.append(far)
@@ -228,7 +241,7 @@ def potentials(seed: int = 8, lines: int = 800, steps: int = 300, penalty: float
     return w[:f], w[f : f + k], w[f + k :]
 
 
-def marginals(unary: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS) -> np.ndarray:
+def marginals(unary: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS, settled: float = SETTLED) -> np.ndarray:
     """Loopy sum-product. edges: (pairs, symmetric log potential) of each kind."""
     belief = unary.copy()
     messages = [np.zeros((2, len(pairs), unary.shape[1])) for pairs, _ in edges]
@@ -242,16 +255,19 @@ def marginals(unary: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]], rou
                     cavity = belief[pairs[:, src]] - m[1 - way]
                     out[way] = norm(np.logaddexp.reduce(cavity[:, :, None] + pot[None], axis=1))
             new.append(0.5 * out + 0.5 * m)
+        change = max((np.abs(a - b).max() for a, b in zip(new, messages, strict=True) if a.size), default=0.0)
         messages = new
         belief = unary.copy()
         for (pairs, _), m in zip(edges, messages, strict=True):
             if len(pairs):
                 np.add.at(belief, pairs[:, 1], m[0])
                 np.add.at(belief, pairs[:, 0], m[1])
+        if change <= settled:
+            break
     return np.exp(norm(belief))
 
 
-def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def spans_of(text: str, model: tuple | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans, by kind as listed, then by start."""
     if not _ANY.search(text):
         return [], []
@@ -259,10 +275,12 @@ def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int
     nodes = _pieces(text)
     if not nodes:
         return base, base
-    node, chain, skip = potentials()
+    node, chain, skip = model or potentials()
     kinds = _base_of(nodes, base)
     near, far = _edges(nodes)
-    p = marginals(np.array([_features(x[2], x[3], k) for x, k in zip(nodes, kinds, strict=True)]) @ node, [(near, chain), (far, skip)])
+    unary = np.array([_features(x[2], x[3], k) for x, k in zip(nodes, kinds, strict=True)]) @ node
+    forms = np.zeros((int(far[:, 1].max()) + 1 - len(nodes) if len(far) else 0, len(LABELS)))
+    p = marginals(np.vstack((unary, forms)), [(near, chain), (far, skip)])[: len(nodes)]
     added: list[tuple[str, int, int]] = []
     for x, k, q in zip(nodes, kinds, p, strict=True):
         best = int(q.argmax())
@@ -292,12 +310,14 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
+    model = potentials()
+
     def run(batches):
         nothing = hashlib.sha256(b"").hexdigest()
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                base, all_spans = spans_of(text.as_py() or "")
+                base, all_spans = spans_of(text.as_py() or "", model)
                 counts = [sum(k == s[0] for s in base) for k in KINDS[:4]] if base else [0] * 4
                 rows.append((*counts, hashlib.sha256(written(base).encode()).hexdigest() if base else nothing, written(all_spans)))
             if rows:
@@ -312,13 +332,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """docs with every span masked in `text`; n_chars, if there, is counted anew for changed texts."""
+    """docs with every span masked in `text`; n_chars, if there, is counted anew for changed texts.
+
+    Null and empty texts stay as they are; repeated rows, null doc_ids and extra columns are kept; an empty table gives no rows.
+    """
+    model = potentials()
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             old = [x.as_py() for x in batch.column(at)]
-            new = [t if t is None else masked(t, spans_of(t)[1]) for t in old]
+            new = [t if t is None else masked(t, spans_of(t, model)[1]) for t in old]
             columns = list(batch.columns)
             columns[at] = pa.array(new, batch.column(at).type)
             if (n := batch.schema.get_field_index("n_chars")) >= 0:

@@ -227,11 +227,42 @@ def test_pii(docs, empty):
     assert "[EMAIL]" in masked[14].text and masked[14].n_chars == len(masked[14].text) and masked[3].text is None
 
 
+def test_pii_of_long_digit_runs():
+    assert op8_pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    assert op8_pii.base_spans("9" * 5000 + ".1.1.1") == []
+    assert op8_pii.spans_of("7" * 6000 + " @ " + "1-" * 4000)[0] == []
+
+
+def test_pii_adds_no_cards_that_fail_their_check_digit():
+    g = random.Random(2)
+    numbers = [n for n in (str(g.randrange(10**15, 10**16)) for _ in range(200)) if not op8_pii.luhn(n)]
+    assert all(op8_pii.spans_of(f"{words(5, i)} {n} {words(5, i + 1)}") == ([], []) for i, n in enumerate(numbers))
+
+
+def test_pii_labels_reach_all_repetitions():
+    """A token that shows itself once is found wherever it stands again, however often and far."""
+    value = "k3b9d0f7a1c5e2g8"
+    text = f"password={value} " + " ".join(f"{words(30, i)} {value}" for i in range(40))
+    alone = " ".join(f"{words(30, i)} {value[:-1]}{i % 10}" for i in range(2))
+    assert op8_pii.spans_of(text)[1] == [("secret", m.start(), m.end()) for m in re.finditer(value, text)]
+    assert op8_pii.spans_of(alone)[1] == []
+
+
+def test_loopy_messages_on_a_cycle_come_near():
+    g = np.random.default_rng(3)
+    unary, pot = g.normal(size=(3, 2)), 0.3 * g.normal(size=(2, 2))
+    pot = pot + pot.T
+    got = op8_pii.marginals(unary, [(np.array([[0, 1], [1, 2]]), pot), (np.array([[0, 2]]), pot)])
+    p = np.exp(unary[0][:, None, None] + unary[1][None, :, None] + unary[2][None, None] + pot[:, :, None] + pot[None] + pot[:, None, :])
+    p /= p.sum()
+    assert np.allclose(got, [p.sum((1, 2)), p.sum((0, 2)), p.sum((0, 1))], atol=0.03)
+
+
 def test_loopy_messages_are_exact_on_a_chain():
     g = np.random.default_rng(0)
     unary, pot = g.normal(size=(3, 3)), g.normal(size=(3, 3))
     pot = pot + pot.T
-    got = op8_pii.marginals(unary, [(np.array([[0, 1], [1, 2]]), pot)], rounds=40)
+    got = op8_pii.marginals(unary, [(np.array([[0, 1], [1, 2]]), pot)], rounds=80, settled=0)
     p = np.exp(unary[0][:, None, None] + unary[1][None, :, None] + unary[2][None, None] + pot[:, :, None] + pot[None])
     p /= p.sum()
     assert np.allclose(got, [p.sum((1, 2)), p.sum((0, 2)), p.sum((0, 1))], atol=1e-6)
