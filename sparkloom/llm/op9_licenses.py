@@ -4,7 +4,9 @@ All templates (short phrases and notices) go into one suffix automaton over word
 text's words are streamed through it, which gives matching statistics: the length of the
 longest template part that ends at each word. Runs of matches are chained while they follow
 each other closely; a chain's matches, laid over their template, cover spans of it. A template
-is found where a chain covers at least COVER of it. Phrases are templates of their own: a
+is found where a chain covers at least COVER of it, or all of it if it has under SHORT words, as a few of its words
+are said elsewhere too. Where templates of different labels are found in overlapping places (licences quote
+each other's wording), the one with the most covered words holds. Phrases are templates of their own: a
 state knows the phrases that its strings end with, which gives every place of a phrase.
 
 Only words that begin a word pair of some template can take part in a match of two words or more, so
@@ -33,20 +35,31 @@ PHRASES = {
 #: Openings of public licence notices, with their labels.
 NOTICES = [
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
     ("mit", "Released under the MIT License."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("bsl", "Distributed under the Boost Software License, Version 1.0."),
+    ("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
 ]
-#: A chain's matches are at most GAP words apart and at least LEAST words long; it must cover this share of a template.
-GAP, LEAST, COVER = 8, 3, 0.6
+#: A chain's matches are at most GAP words apart and at least LEAST words long; it must cover this share of a template of SHORT words or more.
+GAP, LEAST, COVER, SHORT = 8, 3, 0.6, 20
 
 
 class Automaton:
@@ -121,6 +134,32 @@ class Automaton:
             yield state, length
 
 
+def chained(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Chains of one template's matches (end in the text, begin and end in the template), as begin and end in the text, and covered words."""
+    out: list[tuple[int, int, int]] = []
+    spans: list[tuple[int, int]] = []
+    first = last = None
+
+    def close():
+        covered = reach = 0
+        for s, t in sorted(spans):
+            covered += max(0, t - max(s, reach))
+            reach = max(reach, t)
+        out.append((first, last, covered))
+
+    for end, x, y in matches:
+        begin = end - (y - x)
+        if spans and begin - last > GAP:
+            close()
+            spans, first = [], None
+        first = begin if first is None else min(first, begin)
+        spans.append((x, y))
+        last = end
+    if spans:
+        close()
+    return out
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES):
         texts = [*phrases, *(t for _, t in notices)]
@@ -132,6 +171,7 @@ class Scanner:
         ids = np.searchsorted(self.vocabulary, w.hash)
         sequences = [ids[w.first[r] : w.first[r + 1]].tolist() for r in range(len(texts))]
         self.sizes = [len(s) for s in sequences]
+        self.least = [n if n < SHORT else COVER * n for n in self.sizes]
         if min(self.sizes) < 2:
             raise ValueError("a phrase or notice needs two words at least")
         self.pairs = np.unique([a * len(self.vocabulary) + b for s in sequences for a, b in zip(s, s[1:], strict=False)])
@@ -171,22 +211,21 @@ class Scanner:
                 if length >= LEAST and (i + 1 == len(steps) or steps[i + 1][1] <= length):  # maximal
                     for k, end in a.where[state].items():
                         matches.setdefault(k, []).append((at + i + 1, end - length, end))
+        chains: list[tuple[int, int, int, str]] = []  # covered words, begin and end in the text, label
         for k, found in matches.items():
             if k < self.phrases:
                 continue
-            spans, last = [], None
-            for end, x, y in [*found, (None, 0, 0)]:
-                if end is None or last is not None and end - (y - x) - last > GAP:
-                    covered, reach = 0, 0
-                    for s, t in sorted(spans):
-                        covered += max(0, t - max(s, reach))
-                        reach = max(reach, t)
+            for begin, end, covered in chained(found):
+                if covered >= self.least[k]:
+                    chains.append((covered, begin, end, self.labels[k]))
+                if covered == self.sizes[k] or self.sizes[k] >= SHORT:
                     best = max(best, covered / self.sizes[k])
-                    if covered >= COVER * self.sizes[k]:
-                        labels.add(self.labels[k])
-                    spans = []
-                spans.append((x, y))
-                last = end
+        chains.sort(key=lambda c: (-c[0], c[1:]))
+        held: list[tuple[int, int, str]] = []
+        for _, begin, end, label in chains:
+            if all(label == other or end <= b or e <= begin for b, e, other in held):
+                held.append((begin, end, label))
+                labels.add(label)
         return len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if places else best
 
 

@@ -283,6 +283,50 @@ def test_licenses(docs, empty):
         assert (0 in a.ends[state] and n >= len(s[0])) == (text[max(0, i - len(s[0])) : i] == s[0])
 
 
+def labels_of(text):
+    import pyarrow as pa
+
+    from sparkloom.llm.common import text_buffers
+
+    *_, found, score = next(iter(op9_licenses.Scanner().scan(*text_buffers(pa.array([text])))))
+    return found, score
+
+
+def test_notices_are_told_apart():
+    for label, notice in op9_licenses.NOTICES:
+        found, score = labels_of(f"{words(40, 1)} {notice} {words(40, 2)}")
+        assert label in found.split(",") and score == 1.0
+        assert set(found.split(",")) <= {label, "cc-by"}, (notice, found)  # "cc by" is a fixed phrase
+    cut = op9_licenses.NOTICES[0][1].split()
+    assert labels_of(" ".join(cut[:34] + ["thing"] + cut[35:]))[0] == "gpl"
+
+
+def test_common_words_are_no_notice():
+    for text in (
+        "The album was released under the name of X", "Creative Commons Attribution-NonCommercial-NoDerivatives", "licensed under the law of the land", "This work is licensed under a new scheme",
+        "the names of its contributors may be used", "distributed under the trees", "free of charge, to any person", words(500, 3),
+    ):
+        assert labels_of(text)[0] == "", text
+
+
+def test_chains_cover_as_counted_one_by_one():
+    """Chains and cover of random matches, against marking each covered word."""
+    g = random.Random(9)
+    for _ in range(300):
+        at, matches = 0, []
+        for _ in range(g.randint(1, 8)):
+            n, x = g.randint(3, 6), g.randint(0, 20)
+            at += g.choice((1, 2, 7, 8, 9, 20)) + n
+            matches.append((at, x, x + n))
+        want, marked = [], set()
+        for i, (end, x, y) in enumerate(matches):
+            if i and end - (y - x) - matches[i - 1][0] > op9_licenses.GAP:
+                want.append(len(marked))
+                marked = set()
+            marked |= set(range(x, y))
+        assert [c for _, _, c in op9_licenses.chained(matches)] == [*want, len(marked)]
+
+
 def test_quality(spark, docs, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     real = spark.read.parquet(f"{SF}/documents.parquet")
