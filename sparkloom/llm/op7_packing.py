@@ -4,8 +4,8 @@ Each task streams its documents. A document's ids (with the end id) are routed t
 tiers: full windows of the longest tier at once, the rest to the smallest tier that holds it. Each
 tier has windows of its own size, in which pieces are laid end to end best fit first; what a window lacks is
 filled with pieces of shorter tiers, the last one cut where the window ends. A window still open at the end of a pool
-is closed as windows of shorter tiers, powers of two, so that padding stays at a few ids a
-task. Sequences of equal length are dealt to step groups of GROUP_TOKENS ids, so that a step's
+is cut into sequences whose lengths are powers of two, the binary digits of what it holds, so no sequence
+is padded. Sequences of equal length are dealt to step groups of GROUP_TOKENS ids, so that a step's
 sequences cost the same.
 
 The pool holds POOL_TOKENS ids, a bound on a task's memory besides its longest document; no piece
@@ -18,6 +18,7 @@ repeated rows are packed once each; null doc_ids are kept; extra columns are ign
 
 from __future__ import annotations
 
+import bisect
 import contextlib
 import functools
 import re
@@ -141,6 +142,10 @@ def kept_tokenizer(path: str):
         timer.start()
 
 
+def _length(piece: tuple) -> int:
+    return len(piece[2])
+
+
 class Packer:
     """Pieces are (doc_id, start, ids, tokens of the document); closed windows come out as rows."""
 
@@ -149,7 +154,7 @@ class Packer:
         self.pools: dict[int, list] = {t: [] for t in tiers}
         self.pooled = 0
         self.number = task << 33
-        self.groups = {t: [task << 33, 0] for t in tiers}
+        self.groups: dict[int, list[int]] = {}
         self.group = task << 33
         self.rows: list[tuple] = []
 
@@ -166,7 +171,7 @@ class Packer:
             self.drain()
 
     def close(self, pieces: list[tuple], size: int) -> None:
-        group = self.groups[size]
+        group = self.groups.setdefault(size, [self.group, 0])
         if group[1] % GROUP_TOKENS == 0:
             self.group += 1
             group[0] = self.group
@@ -180,7 +185,7 @@ class Packer:
     def drain(self) -> None:
         """Pack the pool: per tier, longest first, in windows of the tier's size; gaps are filled from shorter tiers."""
         for pool in self.pools.values():
-            pool.sort(key=lambda x: len(x[2]))  # pop() takes the longest; the order of equals is that of arrival
+            pool.sort(key=_length)  # pop() takes the longest; the order of equals is that of arrival
         order = self.tiers[::-1]
         for tier in order:
             pool = self.pools[tier]
@@ -207,38 +212,18 @@ class Packer:
     def fitting(self, tiers, room: int):
         for t in tiers:
             pool = self.pools[t]
-            if pool and len(pool[-1][2]) <= room:
-                return pool.pop()
-            lo, hi = 0, len(pool)
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if len(pool[mid][2]) <= room:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo:
-                return pool.pop(lo - 1)
+            if pool and (at := bisect.bisect_right(pool, room, key=_length)):
+                return pool.pop(at - 1)
         return None
 
     def put(self, piece: tuple) -> None:
-        pool = self.pools[next(t for t in self.tiers if len(piece[2]) <= t)]
-        at = 0
-        while at < len(pool) and len(pool[at][2]) < len(piece[2]):
-            at += 1
-        pool.insert(at, piece)
+        bisect.insort_left(self.pools[next(t for t in self.tiers if len(piece[2]) <= t)], piece, key=_length)
 
     def close_open(self, window: list[tuple]) -> None:
-        """Close a window that is not full as full windows of shorter tiers; what is left is padded in the shortest."""
+        """Close a window that is not full as sequences of the powers of two that make up its length."""
         total = sum(len(x[2]) for x in window)
-        sizes = []
-        for t in self.tiers[::-1]:
-            while total >= t:
-                sizes.append(t)
-                total -= t
-        if total:
-            sizes.append(self.tiers[0])
         at = 0
-        for size in sizes:
+        for size in [1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1]:
             part, room = [], size
             while room and at < len(window):
                 doc_id, start, ids, n = window[at]

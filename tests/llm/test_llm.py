@@ -192,7 +192,31 @@ def test_each_tier_is_packed_in_its_own_windows():
     assert total == Counter(dict(enumerate(sizes)))
     windows = Counter(size for _, size in seq)
     assert min(windows[t] for t in op7_packing.TIERS) > 20
-    assert sum(size for _, size in seq) - sum(sizes) < 3 * 512  # padding of a pool's last window only
+    assert all(sum(n for _, n in rows) == size and size & (size - 1) == 0 for (_, size), rows in seq.items())  # nothing is padded
+
+
+def test_what_is_left_is_cut_into_powers_of_two():
+    for n in (1, 28, 60, 182, 274, 4095, 5000):
+        packer = op7_packing.Packer(3)
+        packer.add(7, np.arange(n, dtype=np.uint32))
+        packer.drain()
+        lengths = Counter()
+        for _, _, length, _, _, number, *_ in packer.rows:
+            lengths[number] += length
+        assert sum(lengths.values()) == n and all(x & (x - 1) == 0 for x in lengths.values())
+        assert sorted((start, length) for _, start, length, *_ in packer.rows)[0][0] == 0
+
+
+def test_tokenizer_is_exact_on_given_texts():
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(op7_packing.VOCABULARY)
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()]
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    for got, x in zip(op7_packing.FastTokenizer(path)(texts), want, strict=True):
+        assert got.tolist() == x.ids
 
 
 def test_tokenizer_is_exact():
