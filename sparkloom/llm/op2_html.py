@@ -3,10 +3,12 @@
 Nodes are block-level elements and runs of text (inline markup belongs to its run). Each node has
 a unary potential from its features and a parent-child potential with its parent; sum-product
 messages pass upward, then downward, and give every run's exact marginal of being content. Runs of
-over one half are the main text's blocks, in page order. Potentials are trained on generated, labelled
+over one half are the main text's blocks, in page order. What follows a heading such as "Comments" or "Related
+articles", up to the next heading of its rank, is marked as such for the features. Potentials are trained on generated, labelled
 pages by maximum likelihood, as the marginals give exact gradients on trees.
 
-Scripts, styles, head, comments and other markup never become runs. Character references are
+Scripts, styles, title, comments and other markup never become runs; head and body may be left out, and elements
+such as svg that the page never closes hide nothing. Character references are
 decoded, white space in a block becomes one space, blocks are trimmed and joined by an empty line; nothing else
 is dropped or cut, and whole pages are read.
 
@@ -29,7 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm.common import row_groups, table, text_buffers
 
 _BLOCK = frozenset("address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
-_HIDDEN = frozenset("script style noscript template iframe object svg math head title textarea select noframes audio video canvas".split())
+_HIDDEN = frozenset("script style noscript template iframe object svg math title textarea select noframes audio video canvas".split())
+#: Tags that end an open svg or math, as in browsers.
+_BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em h1 h2 h3 h4 h5 h6 head hr i img li menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_HEADING = re.compile(r"h[1-6]")
+#: Headings of what is not the article.
+_ASIDE_HEADING = re.compile(
+    r"\W*(?:\d+ )?(?:(?:reader|user|your|all|recent|latest|related|popular|more|other|similar|recommended|top) )*"
+    r"(?:comments?|responses?|repl(?:y|ies)|discussion|related|articles?|posts?|stories|links?|reading|share(?: this)?|follow us|newsletter|subscribe|sign up|log ?in|advertisements?|sponsored|tags|categories|archives?|leave a (?:reply|comment)|(?:join|add to) the (?:conversation|discussion)|you (?:may|might) also like|read (?:more|next)|what others say)"
+    r"\W*(?:\d+\W*)?",
+    re.I,
+)
 _RAW = frozenset("script style title textarea iframe noframes noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
@@ -41,15 +53,16 @@ _AGAINST = re.compile(r"nav|menu|header|foot|side|\bads?\b|\bad[-_]|advert|spons
 _FOR = re.compile(r"article|content|post|entry|main|story|text|body")
 _TAGS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "li", "ul", "ol", "h1", "h2", "h3", "td", "blockquote", "pre", "button", "label", "dd", "figure", "dialog", "table", "#run")
 _TAG_AT = {t: i for i, t in enumerate(_TAGS)}
-_FEATURES = len(_TAGS) + 13
+_FEATURES = len(_TAGS) + 15
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "text", "linked", "total", "links", "truth")
+    __slots__ = ("tag", "names", "parent", "text", "linked", "total", "links", "aside")
 
-    def __init__(self, tag: str, names: str, parent: int, text: str = "", linked: int = 0, truth: bool = False):
-        self.tag, self.names, self.parent, self.text, self.linked, self.truth = tag, names, parent, text, linked, truth
+    def __init__(self, tag: str, names: str, parent: int, text: str = "", linked: int = 0):
+        self.tag, self.names, self.parent, self.text, self.linked = tag, names, parent, text, linked
         self.total = self.links = 0
+        self.aside = False
 
 
 def _letter(c: str) -> bool:
@@ -79,6 +92,14 @@ def parse(page: str) -> list[Node]:
         del stack[depth:]
         link = 0
 
+    @functools.cache
+    def last_close(tag: str) -> int:
+        return lower().rfind(f"</{tag}")
+
+    @functools.cache
+    def lower() -> str:
+        return page.lower() if page.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), page)  # offsets stay
+
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
@@ -113,11 +134,13 @@ def parse(page: str) -> list[Node]:
             if closing and tag in hidden:
                 while hidden.pop() != tag:
                     pass
-            elif not closing and tag in _HIDDEN and not rest.endswith("/"):
+                continue
+            if not closing and hidden[-1] in ("svg", "math") and tag in _BREAKS_OUT:
+                while hidden and hidden[-1] in ("svg", "math"):
+                    hidden.pop()
+            elif not closing and tag in _HIDDEN and not rest.endswith("/") and last_close(tag) >= at:
                 hidden.append(tag)
-            elif not closing and tag == "body" and hidden == ["head"]:
-                hidden.clear()
-            if hidden or tag != "body":
+            if hidden:
                 continue
         if closing:
             if tag == "a":
@@ -133,7 +156,7 @@ def parse(page: str) -> list[Node]:
                 end = re.compile(f"</{tag}\\b[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else n
                 run.append(" ")
-            elif not rest.endswith("/"):
+            elif not rest.endswith("/") and last_close(tag) >= at:  # what is never closed hides nothing
                 hidden.append(tag)
             continue
         if tag == "br":
@@ -160,6 +183,7 @@ def parse(page: str) -> list[Node]:
             if tag not in _VOID and not rest.endswith("/"):
                 stack.append(len(nodes) - 1)
     close_run()
+    mark_asides(nodes)
     for i in range(len(nodes) - 1, -1, -1):
         x = nodes[i]
         if x.tag == "#run":
@@ -170,6 +194,21 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+def mark_asides(nodes: list[Node]) -> None:
+    """Set `aside` on headings such as "Comments", and on what follows up to the next heading of the same or a higher rank."""
+    under = 9  # the rank of the last such heading; 9: none
+    for x in nodes:
+        if x.tag == "#run" and _HEADING.fullmatch(nodes[x.parent].tag):
+            rank = int(nodes[x.parent].tag[1])
+            if _ASIDE_HEADING.fullmatch(x.text):
+                under = min(under, rank)
+                nodes[x.parent].aside = True
+            elif rank <= under:
+                under = 9
+                nodes[x.parent].aside = False
+        x.aside = under < 9
+
+
 def features(nodes: list[Node]) -> np.ndarray:
     out = np.zeros((len(nodes), _FEATURES))
     f = len(_TAGS)
@@ -178,8 +217,10 @@ def features(nodes: list[Node]) -> np.ndarray:
             out[i, _TAG_AT[x.tag]] = 1
         share = x.links / x.total if x.total else 0
         out[i, f : f + 9] = 1, bool(_AGAINST.search(x.names)), bool(_FOR.search(x.names)), share > 0.5, 0.1 < share <= 0.5, x.total < 25, 25 <= x.total < 100, x.total >= 400, x.total == 0
+        out[i, f + 13] = x.aside
         if x.tag == "#run":
             tag = nodes[x.parent].tag
+            out[i, f + 14] = tag in ("html", "body", "div", "article", "main", "section")
             out[i, f + 9 : f + 13] = tag == "p", tag in ("li", "td", "dd"), tag[:1] == "h" and tag[1:].isdigit(), x.text[-1] in ".!?:;\"'»"
     return out
 
@@ -250,19 +291,31 @@ def _page(g: random.Random) -> str:
             lambda: f"<table><tr><td>{z(3)}</td><td>{z(4)}</td></tr></table>",
         ))()
 
-    body = [f"<h1>zz {w(g.randint(2, 12))}</h1>", *(good() for _ in range(g.randint(1, 12)))]
+    def untold():
+        """Comments or links that only a heading names."""
+        title = g.choice(("Comments", "3 Comments", "Comments (12)", "Reader comments", "Responses", "Leave a reply", "Discussion", "Related articles", "You may also like", "More stories"))
+        said = "".join(f"<p>{w(g.randint(2, 60))}.</p>" for _ in range(g.randint(1, 5)))
+        inner = g.choice((said, f"<div>{said}</div>", "<ul>" + "".join(f"<li>{w(g.randint(3, 30))}.</li>" for _ in range(3)) + "</ul>", f"<ul>{links(4)}</ul>"))
+        a, b = g.choice((("", ""), ("<div>", "</div>"), ("<section>", "</section>")))
+        return f"{a}<{(h := g.choice(('h2', 'h3', 'h4')))}>{title}</{h}>{inner}{b}"
+
+    body = [*([f"<h1>zz {w(g.randint(2, 12))}</h1>"] if g.random() < 0.75 else []), *(good() for _ in range(g.randint(1, 12)))]
+    plain = g.choice((("<article>", "</article>"), ("<div>", "</div>"), ("<main>", "</main>"), ("", ""), ("<div><div>", "</div></div>"), ("<section>", "</section>")))
+    if g.random() < 0.25:  # a page of little else than a few paragraphs
+        few_good = "".join(f"<p>zz{' ' * (k > 0)}{w(k)}{g.choice(('.', '', '!'))}</p>" for k in (g.choice((0, 1, 3, 8, 16, 30)) for _ in range(g.randint(1, 4))))
+        return f"<html><head><title>{w(3)}</title></head><body>{g.choice(('', menu()))}{plain[0]}{few_good}{plain[1]}{untold() if g.random() < 0.3 else ''}</body></html>"
     if g.random() < 0.35:
         body.insert(g.randint(1, len(body)), junk())
-    wrap = g.choice((("<article>", "</article>"), ("<main>", "</main>"), ('<main><article class="post">', "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main"><div>', "</div></div>"), ("<div>", "</div>"), ('<section class="entry">', "</section>"), ("<article>", ""), ("<article>", "")))
+    wrap = g.choice((("<article>", "</article>"), ("<main>", "</main>"), ('<main><article class="post">', "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main"><div>', "</div></div>"), ("<div>", "</div>"), ('<section class="entry">', "</section>"), ("<article>", ""), ("<article>", ""), ("", "")))
     comments = box(("div", "section"), ("comments", "comment-list", "disqus"), "".join(f'<div class="comment"><p>{w(g.randint(3, 60))}.</p></div>' for _ in range(3)))
     head = g.choice((f"<header><h2>{w(2)}</h2>{menu()}</header>", box(("div",), ("header", "site-header"), w(3)), menu(), ""))
     foot = g.choice((f"<footer>&copy; {w(2)} &middot; {w(g.randint(2, 30))}.</footer>", box(("div",), ("footer", "copyright"), w(8) + "." + links(3, "span")), f"<footer><p>{w(12)}</p><ul>{links(4)}</ul></footer>"))
-    parts = [head, *(junk() for _ in range(g.randint(0, 2))), wrap[0] + "".join(body) + wrap[1], *([comments] if g.random() < 0.3 else []), *(junk() for _ in range(g.randint(0, 2))), foot]
+    parts = [head, *(junk() for _ in range(g.randint(0, 2))), wrap[0] + "".join(body) + wrap[1], *([comments] if g.random() < 0.3 else []), *([untold()] if g.random() < 0.3 else []), *(junk() for _ in range(g.randint(0, 2))), foot]
     return f"<!DOCTYPE html><html><head><title>{w(4)}</title><style>p{{}}</style></head><body>{''.join(parts)}</body></html>"
 
 
 @functools.lru_cache(1)
-def potentials(seed: int = 2, pages: int = 300, steps: int = 300, penalty: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
+def potentials(seed: int = 2, pages: int = 250, steps: int = 250, penalty: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
     """Unary weights and the parent-child potential: maximum likelihood on generated pages, by exact gradients from the marginals.
 
     An element is content if any run in it is.

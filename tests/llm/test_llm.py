@@ -386,6 +386,58 @@ def test_html(spark):
     assert len(p) == len(nodes)
 
 
+def test_html_of_plain_and_broken_pages():
+    article = "<h1>Title of it</h1><p>Long article text that says something, and more of it.</p><p>Second paragraph of the article.</p>"
+    text = ["Title of it", "Long article text that says something, and more of it.", "Second paragraph of the article."]
+    said = "<p>I like this article a lot.</p><p>Me too, great.</p>"
+    for page, want in (
+        ("<body><div><p>P</p><p>P</p></div></body>", ["P", "P"]),
+        ("<article><p>" + "word word here " * 5 + "and end.</p></article>", ["word word here " * 5 + "and end."]),
+        ("<html><head><title>t</title><p>First paragraph here.<p>Second one follows it.", ["First paragraph here.", "Second one follows it."]),
+        ("<body><svg><p>After the svg there is text that stays.</p><p>Another one.</p>", ["After the svg there is text that stays.", "Another one."]),
+        ("<p>Text before it stands here.</p><object data=x><p>An object never closed, and text goes on.</p>", ["Text before it stands here.", "An object never closed, and text goes on."]),
+        (f"<article>{article}</article><div><h3>Comments</h3><div>{said}</div></div>", text),
+        (f"{article}<h3>Comments (2)</h3>{said}", text),
+    ):
+        assert op2_html.main_blocks([page])[0] == want, page
+    assert runs("<svg><path d=x></svg><p>a</p><select><option>b</select>c") == ["a", "c"]
+
+
+def test_html_on_pages_that_were_not_trained_on():
+    """Precision and recall of blocks on generated pages of another seed; "zz" marks content."""
+    g = random.Random(99)
+    hit = false = missed = 0
+    for _ in range(200):
+        page = op2_html._page(g)
+        got, all_runs = op2_html.main_blocks([page])[0], runs(page)
+        want = [x for x in all_runs if x.startswith("zz")]
+        hit += sum((Counter(got) & Counter(want)).values())
+        false += sum((Counter(got) - Counter(want)).values())
+        missed += sum((Counter(want) - Counter(got)).values())
+    assert hit / (hit + false) > 0.98 and hit / (hit + missed) > 0.98
+
+
+def test_html_of_given_pages_is_the_article():
+    import html
+
+    import pyarrow.parquet as pq
+
+    for r in pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist():
+        inside = re.search(r"(?s)<article>(.*)</article>", r["html"])[1]
+        blocks = re.findall(r"(?s)<(?:h1|p)>(.*?)(?=<p>|</p>|</h1>|$)", re.sub("</?b>", "", inside.replace("<br>", " ")))
+        want = [" ".join(html.unescape(b).split()) for b in blocks]
+        assert op2_html.main_blocks([r["html"]])[0] == [b for b in want if b]
+
+
+def test_html_of_empty_tables_repeated_rows_and_long_pages(spark):
+    schema = "page_id long, url string, html string, text string, n_chars int"
+    assert op2_html.extract(spark.createDataFrame([], schema)).count() == 0
+    page = "<article>" + "<p>One more paragraph of this article, with text.</p>" * 20000 + "</article>"
+    rows = [(1, "u", page, "x", 0)] * 2 + [(None, None, page, None, None)]
+    got = op2_html.extract(spark.createDataFrame(rows, schema)).collect()
+    assert [r.text.count("\n\n") for r in got] == [19999] * 3 and all(r.n_chars == len(r.text) for r in got)
+
+
 def runs(page):
     return [x.text for x in op2_html.parse(page) if x.tag == "#run"]
 
