@@ -512,11 +512,8 @@ def test_chat(spark):
             best = new
         return min(c + op4_chat.FINISH[s][0] for s, c in best.items())
 
-    old, op4_chat.BLOCK = op4_chat.BLOCK, 3
-    try:
-        got = op4_chat.repair(df).collect()
-    finally:
-        op4_chat.BLOCK = old
+    got = op4_chat.repair(df, block=3).collect()
+    assert Counter(got) == Counter(op4_chat.repair(df).collect())  # cuts change nothing
     for k, c in enumerate(convs):
         mine = sorted((r for r in got if r.conv_id == (k or None)), key=lambda r: r.position)
         assert [r.position for r in mine] == list(range(len(c))) and sum(r.cost for r in mine) == cheapest(c)
@@ -528,6 +525,17 @@ def test_chat(spark):
     assert op4_chat.repair(df.limit(0)).count() == 0
 
 
+def test_chat_of_equal_turns_and_one_long_conversation(spark):
+    rows = [(1, 0, "user", "a")] * 3 + [(1, 1, "assistant", "b")] * 2 + [(2, i, ("user", "assistant")[i % 2], "long " * 50) for i in range(3000)] + [(3, None, None, None)]
+    got = op4_chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), block=500).collect()
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: r.position):
+        by[r.conv_id].append(r)
+    assert [r.action for r in by[1]] == ["keep", "merge", "merge", "keep", "merge"] and sum(r.cost for r in by[1]) == 3
+    assert len(by[2]) == 3000 and sum(r.cost for r in by[2]) == 0 and {r.action for r in by[2]} == {"keep"}
+    assert by[3][0].rendered.endswith("<|assistant|>\n\n") and len(got) == len(rows)
+
+
 def test_decontaminate(spark, docs, empty):
     items = spark.createDataFrame([(1, " ".join(words(60, 2).split()[:20]), "x"), (2, words(20, 77), "x"), (3, None, "x"), (None, words(120, 1), "x"), (1, "other " + words(9, 5), "x")], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id): r.containment for r in op10_decontaminate.contained(docs, items, ["doc_id"]).collect()}
