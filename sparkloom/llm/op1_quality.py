@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SPACED, Words, row_groups, stored, table, text_buffers
+from sparkloom.llm.common import SPACED, Words, bounded, row_groups, stored, table, text_buffers
 
 SHRINKAGE, TEMPERATURE, THRESHOLD, FOLDS = 0.1, 4.0, 0.3, 5
 _KIND = np.zeros(256, np.int64)  # 0: other symbols
@@ -142,8 +142,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier accepts; all columns are kept."""
-    model = fit(statistics_of(docs), labels)
+    """The rows of docs that the classifier accepts; all columns are kept.
+
+    Statistics are computed of the rows to learn from, and of each row as it is scored; none is stored. Null and empty
+    texts are scored like others, repeated rows and null doc_ids are kept or go each by its text; without labels of both
+    classes all rows stay; an empty table gives no rows.
+    """
+    known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_labelled")).distinct()
+    learn = docs.where(~held_out()).select("doc_id", "text").join(bounded(known), F.col("doc_id") == F.col("_labelled"), "left_semi")
+    model = fit(statistics_of(learn), labels)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:

@@ -23,6 +23,7 @@ Defined cases: vectors that are null or hold null or non-finite components take
 with a null vec_id; vectors are compared with those of their own length only, a length at a time; repeated vec_ids are
 rows of their own, as in the SQL (the rows of one query id share its k ranks, where each of their pairs counts; a query's own row leaves by id, so all
 rows of its id do); scores beyond a long are an error; ties go to the smaller vec_id; extra columns are ignored; an empty table gives no rows.
+Components and scores beyond 64 bits count as the nearest 64-bit integer.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
     if top < 2**53:
         return np.rint(q.astype(float) @ x.T.astype(float)).astype(np.int64)
-    return np.array([[sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for s in x] for r in q], object).astype(np.int64).reshape(len(q), len(x))
+    exact = np.array([[sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for s in x] for r in q], object).reshape(len(q), len(x))
+    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -73,6 +75,11 @@ def _distances(x: np.ndarray, extra: np.ndarray, pivots: np.ndarray) -> np.ndarr
     return np.sqrt(np.maximum(d, 0))
 
 
+def slack(m2: float, dim: int) -> float:
+    """By how much the difference of two computed distances may be off: all vectors lie on a sphere of radius sqrt(m2), and a sum of dim + 1 products of such is off by a few units in its last places."""
+    return 2 * float(np.sqrt(4 * m2 * (dim + 8) * 2.0**-52))
+
+
 def _keyed(df: DataFrame, pivots: np.ndarray, m2: float, query: bool) -> DataFrame:
     """Adds `pivot` (the nearest) and `dist`."""
 
@@ -127,7 +134,7 @@ def _search(pairs: DataFrame, queries: DataFrame, index: DataFrame, k: int, m2:
             for r in pdf.itertuples(index=False):
                 q, x = np.stack(r.qv).astype(np.int64), np.stack(r.xv).astype(np.int64)
                 d = _distances(q, np.zeros(len(q)), pivots[[r.pivot]])[:, 0]
-                gap = np.maximum(np.maximum(r.lo - d, d - r.hi), 0) * (1 - 1e-9)
+                gap = np.maximum(np.maximum(r.lo - d, d - r.hi) - slack(m2, q.shape[1]), 0) * (1 - 1e-9)
                 bound = ((q.astype(float) ** 2).sum(1) + m2 - gap**2) / 2 * (1 + 1e-12) + 1
                 need = np.flatnonzero(bound >= np.array(r.floor, float))
                 if not len(need):
@@ -216,7 +223,7 @@ def _top_k_of(entries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 d = _distances(x, np.zeros(len(x)), pivots)
                 n = d.shape[1]
                 # nearer than this, an entry could reach the query's floor
-                r = np.sqrt(np.maximum((x.astype(float) ** 2).sum(1) + m2 - 2 * pdf["floor"].to_numpy(), 0)) * (1 + 1e-9) + 1e-6
+                r = np.sqrt(np.maximum((x.astype(float) ** 2).sum(1) + m2 - 2 * pdf["floor"].to_numpy(), 0)) * (1 + 1e-9) + slack(m2, x.shape[1])
                 yield pd.DataFrame({"qblock": np.repeat(pdf["qblock"].to_numpy(), n), "p": np.tile(np.arange(n, dtype="int32"), len(x)), "a": (d - r[:, None]).reshape(-1), "b": (d + r[:, None]).reshape(-1)})
 
     want = blocks.select("qblock", "v", "floor").mapInPandas(reach, "qblock long, p int, a double, b double").groupBy("qblock", "p").agg(F.min("a").alias("a"), F.max("b").alias("b"))

@@ -307,6 +307,34 @@ def test_licenses(docs, empty):
         assert (0 in a.ends[state] and n >= len(s[0])) == (text[max(0, i - len(s[0])) : i] == s[0])
 
 
+def test_quality_scores_by_brute_force(spark):
+    """All rows' moments and densities by plain numpy, against the aggregated moments and cached factors."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas().set_index("doc_id")["quality"]
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id")["text"]
+    import pyarrow as pa
+
+    from sparkloom.llm.common import text_buffers
+
+    x = op1_quality.statistics(*text_buffers(pa.array(real.tolist())))
+    train = np.array([i in labels.index and zlib.crc32(str(i).encode()) % 5 != 0 for i in real.index])
+    y = np.array([labels.get(i, -1) for i in real.index])
+    parts = [x[train & (y == k)] for k in (0, 1)]
+    cov = [np.cov(p.T, bias=True) for p in parts]
+    pooled = sum(len(p) * c for p, c in zip(parts, cov, strict=True)) / sum(map(len, parts))
+    density = []
+    for p, c in zip(parts, cov, strict=True):
+        c = (1 - op1_quality.SHRINKAGE) * c + op1_quality.SHRINKAGE * np.diag(np.diag(pooled) + 1e-4)
+        away = x - p.mean(0)
+        density.append(np.log(len(p) / train.sum()) - np.linalg.slogdet(c)[1] / 2 - np.einsum("ij,jk,ik->i", away, np.linalg.inv(c), away) / 2)
+    want = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / op1_quality.TEMPERATURE, -40, 40)))
+    got = {r.doc_id: r for r in op1_quality.op1_quality(spark, SF).collect()}
+    assert np.allclose([got[i].score for i in real.index], want, atol=1e-6)
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) for i, r in got.items())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in op1_quality.drop_rejected(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    assert kept == {i for i, r in got.items() if r.predicted}
+
+
 def labels_of(text):
     import pyarrow as pa
 
@@ -492,6 +520,19 @@ def test_topk_of_repeated_ids(spark, tmp_path):
         op3_topk.BLOCK = block
 
 
+def test_topk_of_large_and_unequal_vectors(spark):
+    g = np.random.default_rng(4)
+    base = g.normal(size=(6, 8)) * 1e5
+    x = np.vstack([base[i % 6] + g.normal(size=8) * 10.0 ** -(i % 5) for i in range(150)] + [g.normal(size=(50, 8)) * 1e-2])
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    v = [[int(np.floor(256 * z)) for z in r] for r in x]
+    want = {(q, r + 1, c, s) for q in range(0, 200, 50) for r, (s, c) in enumerate(sorted(((-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in range(200) if c != q))[:5])}
+    got = {(r.query_id, r.rank, r.vec_id, -r.score) for r in op3_topk.top_k(df).collect()}
+    assert got == want
+    huge = spark.createDataFrame([(0, [1e300]), (1, [1e290]), (2, [-1e300])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in op3_topk.top_k(huge).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]
+
+
 def test_chat(spark):
     g = random.Random(3)
     names = ["", "system", "user", "assistant"]
