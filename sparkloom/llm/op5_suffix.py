@@ -1,14 +1,17 @@
 """Exact removal of repeated 200-byte strings by bucket-pointer refinement on sampled suffixes.
 
-Suffixes are first put into buckets by a q-gram (100 bytes). A sparse suffix set suffices:
-of any 101 successive positions the one with the smallest q-gram hash is an anchor, so a
-200-byte string holds the whole q-gram of an anchor that depends on the string alone, and two
-equal strings have it at the same offset. Buckets of one anchor are dropped. A bucket is refined by
-the identifiers of what lies at later and earlier offsets: first by the whole context that
-200-byte strings through the anchor can touch (100 bytes before, 200 from it on). Anchors
-that share their context with another are settled, without looking at offsets; for those
-on the edge of a match, each of the 101 offsets is refined by the identifier of
-its 200-byte string within the bucket. Covered ranges of all anchors of a text are united and cut.
+Every suffix starts in the bucket of its first QGRAM bytes. Buckets are refined by the bucket identifiers of later
+offsets: the identifier for twice the length is made of that at the suffix and that at the offset where the first ends
+(25 and 25, 50 and 50 bytes), and each round reuses the one before. Identifiers are named by hashing instead of by
+rank, so a round needs no order over all texts and runs where the text is.
+
+A sparse suffix set suffices: of any 101 successive positions the one with the smallest 100-byte identifier is an
+anchor, so a 200-byte string holds the whole 100 bytes of an anchor that depends on the string alone, and two
+equal strings have it at the same offset. Anchors are sorted by identifier; buckets of one anchor are settled and
+dropped. A bucket that is left is refined by the identifiers of earlier and later offsets: first those that make up
+the whole context that 200-byte strings through the anchor can touch (100 bytes before, 200 from it on). Anchors
+that share their context with another are settled; for those on the edge of a match, each of the 101 offsets
+is refined by the identifiers at it and 100 bytes later. Covered ranges of all anchors of a text are united and cut.
 
 Bucket identifiers are 64-bit hashes of content (contexts are told apart within a bucket only, texts have 96 bits), so they need no global order;
 every step is a combinable aggregation or equi-join. A bucket with over WIDE different contexts is
@@ -30,9 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import discard, mix, prefix_hash, row_groups, stored, table, text_buffers
+from sparkloom.llm.common import U, discard, mix, prefix_hash, row_groups, stored, table, text_buffers
 
-LENGTH, GRAM = 200, 100
+LENGTH, GRAM, QGRAM = 200, 100, 25
 SPAN = LENGTH - GRAM + 1
 #: A bucket of so many different contexts takes about 60 MB in one task.
 WIDE = 16384
@@ -48,10 +51,23 @@ def window_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and q-gram hashes of a text's anchors: each position that is smallest in a window of SPAN positions."""
+def refined(ids: np.ndarray, step: int) -> np.ndarray:
+    """Identifiers for step more bytes: of each position's own and that of the position `step` later."""
+    return mix(ids[:-step] * U(0xBF58476D1CE4E5B9) + ids[step:])
+
+
+def identifiers(data: np.ndarray, length: int = GRAM) -> np.ndarray:
+    """Bucket identifiers of the `length` bytes from each position on, refined from those of QGRAM bytes."""
     s, p = prefix_hash(data)
-    h = mix((s[GRAM:] - s[:-GRAM]) * p[: len(data) - GRAM + 1])
+    ids, have = mix((s[QGRAM:] - s[:-QGRAM]) * p[: len(data) - QGRAM + 1]), QGRAM
+    while have < length:
+        ids, have = refined(ids, have), 2 * have
+    return ids
+
+
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text's anchors, each position that is smallest in a window of SPAN positions: positions, bucket identifiers, and identifiers of their contexts."""
+    h = identifiers(data)
     low = window_min(h, SPAN)
     # position i is an anchor if some window that holds it has it as minimum: the largest of those minima equals its hash
     n = len(h)
@@ -59,7 +75,17 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded[SPAN - 1 : SPAN - 1 + len(low)] = low
     highest = ~window_min(~padded, SPAN)
     at = np.flatnonzero(h == highest[:n])
-    return at, h[at].view(np.int64)
+    return at, h[at].view(np.int64), contexts(h, at).view(np.int64)
+
+
+def contexts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Identifiers of anchors' contexts, made of those at the context's begin, at the anchor, and GRAM bytes before the context's end."""
+    left = np.minimum(at, LENGTH - GRAM)
+    last = np.minimum(at + LENGTH - GRAM, len(h) - 1)
+    out = mix(left.astype(np.uint64) * U(1024) + (last - at).astype(np.uint64))
+    for where in (at - left, at, last):
+        out = mix(out * U(0x94D049BB133111EB) + h[where])
+    return out
 
 
 def context(text: bytes, at: int) -> tuple[int, bytes]:
@@ -68,10 +94,6 @@ def context(text: bytes, at: int) -> tuple[int, bytes]:
     return left, text[at - left : at + LENGTH]
 
 
-def context_key(left: int, part: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(part, seed=left)
-
-
 def text_key(text: bytes) -> tuple[int, int]:
     """64 and 32 bits; the second part leaves room for a position, so that an anchor is four longs."""
     key = xxhash.xxh3_128_intdigest(text)
@@ -96,12 +118,11 @@ def _anchor_rows(batches, places: bool):
         for _, part in _each(batch, 0):
             if len(part) < LENGTH:
                 continue
-            at, h = anchors(part)
-            text = part.tobytes()
+            at, h, c = anchors(part)
             rows[0].append(h)
-            rows[1].append(np.array([context_key(*context(text, i)) for i in at.tolist()], np.uint64).view(np.int64))
+            rows[1].append(c)
             if places:
-                k, more = text_key(text)
+                k, more = text_key(part.tobytes())
                 rows[2].append(np.full(len(at), k, np.int64))
                 rows[3].append((more << 32) + at)
             n += len(at)
@@ -133,11 +154,11 @@ def _string_ids(q: np.ndarray, left: np.ndarray, raws: list[bytes]) -> tuple[np.
     pad = (LENGTH - GRAM) - left  # the anchor always stands at column 100
     cols = np.arange(flat.shape[1])
     flat[(cols >= pad[:, None]) & (cols < (pad + lens)[:, None])] = np.frombuffer(b"".join(raws), np.uint8)
-    s, p = prefix_hash(flat.reshape(-1))
+    h = identifiers(flat.reshape(-1), LENGTH)
     row = np.arange(n)[:, None] * flat.shape[1]
     o = np.arange(SPAN)
     begin = row + (LENGTH - GRAM) - o
-    ids = mix(mix((s[begin + LENGTH] - s[begin]) * p[begin] + q.view(np.uint64)[:, None]) + o.astype(np.uint64))
+    ids = mix(mix(h[begin] + q.view(np.uint64)[:, None]) + o.astype(np.uint64))
     whole = (o <= left[:, None]) & ((LENGTH - GRAM) - o + LENGTH <= (pad + lens)[:, None])
     return ids, whole
 
@@ -226,7 +247,9 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     buckets = stored(grams.select("q", (F.col("lo") != F.col("hi")).alias("mixed")))
 
     anchor = only.mapInArrow(lambda it: _anchor_rows(it, True), "q long, c long, k long, place long")
-    hits = stored(anchor.join(buckets, "q").groupBy("k", "place", "q", "c", "mixed").agg(F.count("*").alias("n")))  # copies of a text meet here
+    # stored before it is counted, so that the counting is dealt by place and a bucket of very many anchors can be split
+    repeated = stored(anchor.join(buckets, "q"))
+    hits = stored(repeated.groupBy("k", "place", "q", "c", "mixed").agg(F.count("*").alias("n")))  # copies of a text meet here
     counts = stored(hits.where("mixed").groupBy("q", "c").agg(F.sum("n").alias("n"), F.min(F.struct("k", "place")).alias("first")))
     single = counts.where("n = 1").select("q").distinct()
     edges = counts.join(single, "q", "left_semi")  # contexts of buckets that are not settled
@@ -250,7 +273,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     whole = hits.where("not mixed").select("k", "place", F.lit(None).cast("array<int>").alias("offsets"))
     part = hits.where("mixed").join(of_context, ["q", "c"]).select("k", "place", "offsets")
     marks = stored(whole.unionByName(part).groupBy("k", more.alias("more")).agg(F.collect_list(F.struct(at.alias("at"), "offsets")).alias("marks")))
-    discard(buckets, hits, counts, raw, wide)
+    discard(buckets, repeated, hits, counts, raw, wide)
     done = keyed.join(marks, key, "left").select("doc_id", "text", "marks")
     return done.mapInArrow(lambda it: _cut(it, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 
