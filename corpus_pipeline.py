@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the
 last return the columns of documents.
+
+Defined cases of every stage: columns of any further names are kept, null doc_ids and repeated rows are rows of their
+own, texts are handled whole however long, an empty table gives no rows; what null and empty texts come to is said
+at each stage.
 """
 
 from __future__ import annotations
@@ -17,22 +21,27 @@ from sparkloom.llm.op10_decontaminate import drop_contaminated
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier scores under its threshold go; null and empty texts are scored as the empty text."""
     return drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies stays; null, empty and blank texts are no copies of anything and stay."""
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that contain a benchmark item go; null and empty texts contain none."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets in texts become marks; null and empty texts stay as they are."""
     return mask_pii(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows become pieces of token sequences; null and empty texts are the end id alone."""
     return pack(docs)
 
 

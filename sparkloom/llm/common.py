@@ -19,8 +19,10 @@ GROUP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # small Arrow batches bound the memory of Python workers, as texts may be long
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    # small Arrow batches bound the memory of Python workers, as texts may be long; a smaller setting stays
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(most)) <= 2000:
+        spark.conf.set(most, "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,16 +45,28 @@ def _local_folder() -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df as a compressed table in the shared folder and read it again."""
+    """Cut lineage: write df as a compressed table in the shared folder and read it again. What discard() leaves goes when the driver ends."""
     spark = df.sparkSession
     folder = shared_folder(spark)
     df.write.option("compression", "zstd").parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
     out._stored_in = folder
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     spark.sparkContext._jvm.System.gc()  # lets Spark delete shuffle files that only the cut lineage needed
     return out
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores put before it until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def discard(*dfs: DataFrame) -> None:
     """Delete stored tables that nothing later reads."""
     for df in dfs:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded, stored, table
+from sparkloom.llm.common import bounded, fresh, stored, table
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.75
@@ -99,10 +99,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that contain no item; all columns are kept."""
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    bad = stored(contained(keyed, items, ["doc_id", "_text_hash"]).select(F.col("doc_id").alias("_d"), F.col("_text_hash").alias("_t")).distinct())
-    on = [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("_text_hash") == F.col("_t")]
+    """The rows of docs that contain no item; all columns are kept.
+
+    Null and empty texts contain nothing; rows are told by doc_id (null or not) and text, so repeated rows go or stay
+    together; an empty table, or one of items, takes nothing away.
+    """
+    text_hash, bad_id, bad_hash = fresh(docs, "text_hash", "bad_id", "bad_hash")
+    keyed = docs.withColumn(text_hash, F.xxhash64("text"))
+    bad = stored(contained(keyed, items, ["doc_id", text_hash]).select(F.col("doc_id").alias(bad_id), F.col(text_hash).alias(bad_hash)).distinct())
+    on = [F.col("doc_id").eqNullSafe(F.col(bad_id)), F.col(text_hash) == F.col(bad_hash)]
     return keyed.join(bounded(bad), on, "left_anti").select(*docs.columns)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from sparkloom.llm.common import SPACED, Words, bounded, connected, discard, mix, release_memory, row_groups, shingle_hashes, stored, table, text_buffers
+from sparkloom.llm.common import SPACED, Words, bounded, connected, discard, fresh, mix, release_memory, row_groups, shingle_hashes, stored, table, text_buffers
 
 COORDS, MIN_MATCHES = 31, 12
 #: Bits of an odd sketch.
@@ -287,34 +287,36 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """docs with `_key`, the key of each row's set."""
+def with_keys(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the key of each row's set as column `name`."""
 
     def run(batches):
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
             keys = [x.column(1) for x in _sets([pa.RecordBatch.from_arrays([text, text], ["doc_id", "text"])], False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], [*batch.schema.names, "_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_key", BinaryType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component stays: of the rows with its component_id, one with the smallest text. Rows without a set all stay.
 
-    Rows are told by doc_id; where it is null or repeated, by the key of their set too.
+    Rows are told by doc_id; where it is null or repeated, by the key of their set too. All columns are kept, whatever
+    their names; an empty table gives no rows.
     """
     found = components(docs)
-    keep = found.where("kept").select(F.col("doc_id").alias("_d")).distinct()
-    several = found.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_d"))
+    key, kept_id, kept_key, label, rank, n = fresh(docs, "key", "kept_id", "kept_key", "label", "rank", "n")
+    keep = found.where("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    several = found.groupBy("doc_id").agg(F.count("*").alias(n)).where((F.col(n) > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias(kept_id))
     several = stored(several)
-    same = F.col("doc_id").eqNullSafe(F.col("_d"))
+    same = F.col("doc_id").eqNullSafe(F.col(kept_id))
     kept = docs.join(keep, same, "left_semi")
     if several.isEmpty():
         return kept
     once = kept.join(several, same, "left_anti")
-    keyed = with_keys(docs.join(several, same, "left_semi"))
-    mine = found.where("kept and key is not null").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("label").alias("_label")).distinct()
-    first = Window.partitionBy("_label").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    best = keyed.join(mine, same & (F.col("_key") == F.col("_k"))).withColumn("_r", F.row_number().over(first)).where("_r = 1")
-    return once.unionByName(keyed.where("_key is null").select(docs.columns)).unionByName(best.select(docs.columns))
+    keyed = with_keys(docs.join(several, same, "left_semi"), key)
+    mine = found.where("kept and key is not null").select(F.col("doc_id").alias(kept_id), F.col("key").alias(kept_key), F.col("label").alias(label)).distinct()
+    first = Window.partitionBy(label).orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    best = keyed.join(mine, same & (F.col(key) == F.col(kept_key))).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+    return once.unionByName(keyed.where(F.col(key).isNull()).select(docs.columns)).unionByName(best.select(docs.columns))

@@ -601,3 +601,25 @@ def test_pipeline(spark):
         out = new
     got = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r.doc_id for r in out.select("doc_id").collect()}
+
+
+def test_stages_on_nulls_clashing_columns_and_empty_tables(spark):
+    """Every stage keeps all columns, whatever their names, and bears nulls, repeated rows and empty tables."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, _text_hash int, text_hash int, bad_id int, key string, kept_id int, label string, rank int, n int, _d int, _labelled long, _h long, _set int, node int"
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    clean, near = words(90, 61), words(90, 62)
+    texts = [None, "", "  ", clean, clean, near, near + " more", item + " " + words(20, 63), "y" * 300_000]
+    rows = [(i, t, *[None] * 16) for i, t in enumerate(texts)] + [(3, clean, *[None] * 16), (None, clean, *[None] * 16), (None, None, *[None] * 16)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert name == "packing" or got.columns == docs.columns, name
+        found = [r.doc_id for r in got.collect()]
+        assert name == "quality" or {0, 1, 2} <= set(found), name
+        if name == "near_dedup":
+            assert found.count(3) == 1 and 4 not in found and sorted(x for x in found if x in (5, 6)) == [5]
+        if name == "decontaminate":
+            assert 7 not in found and found.count(3) == 2
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
