@@ -39,8 +39,10 @@ END_ID = 2
 POOL_TOKENS = 1 << 20
 GROUP_TOKENS = 1 << 16
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept with their ids by a worker (about 110 MB with their pieces); beyond it, the cache starts anew with the next group of texts.
-CACHE_WORDS = 400_000
+#: Words kept with their ids by a worker (about 55 MB with their pieces); beyond it, the cache starts anew with the next group of texts.
+CACHE_WORDS = 200_000
+#: Bytes of texts tokenized at once, and pieces in one call of the tokenizer, which bound a worker's memory.
+TEXT_BYTES, CALL_PIECES = 2 << 20, 8192
 #: Seconds that an idle worker keeps its tokenizer and cache.
 KEEP_SECONDS = 1.5
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context_size int, step_group long"
@@ -74,11 +76,12 @@ class FastTokenizer:
     def learn(self, words: list[str]) -> None:
         """Cache the ids of new words, from those of the pieces that the vocabulary never merges across.
 
-        One call encodes all new pieces: a token belongs to the piece it begins in.
+        One call encodes many new pieces: a token belongs to the piece it begins in.
         """
         cut = [(w, PIECES.findall(w)) for w in words if w not in self.words]
-        new = list({x for _, parts in cut for x in parts if x not in self.pieces})
-        if new:
+        unknown = list({x for _, parts in cut for x in parts if x not in self.pieces})
+        for lo in range(0, len(unknown), CALL_PIECES):
+            new = unknown[lo : lo + CALL_PIECES]
             found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
             ids = np.array(found.ids, np.uint32)
             begins = np.cumsum([0] + [len(w) + 1 for w in new])
@@ -133,6 +136,7 @@ def kept_tokenizer(path: str):
     """The worker's tokenizer for one task. A worker that gets no further task of the kind soon gives its memory back."""
     while _timers:
         _timers.pop().cancel()
+    release_memory()  # what earlier stages' tasks left
     try:
         yield tokenizer_of(path)
     finally:
@@ -258,7 +262,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...]
             for batch in batches:
                 _, offsets = text_buffers(batch.column(1))
                 ids = batch.column(0).to_pylist()
-                for lo, hi in row_groups(offsets, 4 << 20):
+                for lo, hi in row_groups(offsets, TEXT_BYTES):
                     texts = [x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()]
                     for doc_id, found in zip(ids[lo:hi], tokens(texts), strict=True):
                         packer.add(doc_id, np.concatenate((found, end)))
