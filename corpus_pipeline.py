@@ -42,7 +42,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows become pieces of token sequences; null and empty texts are the end id alone."""
-    return pack(docs)
+    return pack(docs, cache_words=200_000, text_bytes=2 << 20)  # executors still hold what earlier stages took
 
 
 STAGES = [

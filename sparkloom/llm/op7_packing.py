@@ -39,10 +39,10 @@ END_ID = 2
 POOL_TOKENS = 1 << 20
 GROUP_TOKENS = 1 << 16
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept with their ids by a worker (about 55 MB with their pieces); beyond it, the cache starts anew with the next group of texts.
-CACHE_WORDS = 200_000
+#: Words kept with their ids by a worker (about 275 MB with their pieces); beyond it, the cache starts anew with the next group of texts.
+CACHE_WORDS = 1_000_000
 #: Bytes of texts tokenized at once, and pieces in one call of the tokenizer, which bound a worker's memory.
-TEXT_BYTES, CALL_PIECES = 2 << 20, 8192
+TEXT_BYTES, CALL_PIECES = 4 << 20, 8192
 #: Seconds that an idle worker keeps its tokenizer and cache.
 KEEP_SECONDS = 1.5
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context_size int, step_group long"
@@ -66,9 +66,10 @@ class FastTokenizer:
 
     SAFE = re.compile("[\\t\\n\\r\\x0b\\x0c -~\\u00a1-\\u00ac\\u00ae-\\u012f\\u0131-\\u0148\\u014a-\\u017e]*")
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        self.cache_words = cache_words
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
@@ -94,7 +95,7 @@ class FastTokenizer:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         plain = [i for i, t in enumerate(texts) if "<|" not in t and self.SAFE.fullmatch(t)]
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > self.cache_words:
             self.words, self.pieces = {"": b""}, {}
         out: list = [None] * len(texts)
         if plain:
@@ -118,9 +119,9 @@ class FastTokenizer:
 
 
 @functools.lru_cache(1)
-def tokenizer_of(path: str) -> FastTokenizer:
+def tokenizer_of(path: str, cache_words: int) -> FastTokenizer:
     """One for a worker process, so that later tasks find its cache."""
-    return FastTokenizer(path)
+    return FastTokenizer(path, cache_words)
 
 
 def _release() -> None:
@@ -132,13 +133,13 @@ _timers: list[threading.Timer] = []
 
 
 @contextlib.contextmanager
-def kept_tokenizer(path: str):
+def kept_tokenizer(path: str, cache_words: int):
     """The worker's tokenizer for one task. A worker that gets no further task of the kind soon gives its memory back."""
     while _timers:
         _timers.pop().cancel()
     release_memory()  # what earlier stages' tasks left
     try:
-        yield tokenizer_of(path)
+        yield tokenizer_of(path, cache_words)
     finally:
         timer = threading.Timer(KEEP_SECONDS, _release)
         timer.daemon = True
@@ -247,8 +248,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...] = TIERS) -> DataFrame:
-    """One row per piece; `vocabulary` is a path each executor can open, by default the installed public file."""
+def pack(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...] = TIERS, cache_words: int = CACHE_WORDS, text_bytes: int = TEXT_BYTES) -> DataFrame:
+    """One row per piece; `vocabulary` is a path each executor can open, by default the installed public file.
+
+    A smaller cache and smaller groups of texts save memory and cost time; the rows are the same.
+    """
 
     def run(batches):
         path = vocabulary
@@ -258,11 +262,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...]
             path = public_tokenizers.path(VOCABULARY)
         packer = Packer(TaskContext.get().partitionId(), tiers)
         end = np.array([END_ID], np.uint32)
-        with kept_tokenizer(path) as tokens:
+        with kept_tokenizer(path, cache_words) as tokens:
             for batch in batches:
                 _, offsets = text_buffers(batch.column(1))
                 ids = batch.column(0).to_pylist()
-                for lo, hi in row_groups(offsets, TEXT_BYTES):
+                for lo, hi in row_groups(offsets, text_bytes):
                     texts = [x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()]
                     for doc_id, found in zip(ids[lo:hi], tokens(texts), strict=True):
                         packer.add(doc_id, np.concatenate((found, end)))
