@@ -33,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import U, discard, mix, prefix_hash, row_groups, stored, table, text_buffers
+from sparkloom.llm.common import U, discard, mix, prefix_hash, release_memory, row_groups, stored, table, text_buffers
 
 LENGTH, GRAM, QGRAM = 200, 100, 25
 SPAN = LENGTH - GRAM + 1
 #: A bucket of so many different contexts takes about 60 MB in one task.
 WIDE = 16384
+#: Contexts of a batch, at most 300 bytes each.
+EDGES = 8192
 
 
 def window_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -88,10 +90,12 @@ def contexts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def context(text: bytes, at: int) -> tuple[int, bytes]:
-    """Bytes before the anchor (at most GRAM), and the context."""
-    left = min(at, LENGTH - GRAM)
-    return left, text[at - left : at + LENGTH]
+def context_bytes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of a text's anchors: bytes before each anchor (at most GRAM), lengths, and all bytes one after the other."""
+    left = np.minimum(at, LENGTH - GRAM)
+    size = np.minimum(at + LENGTH, len(data)) - (at - left)
+    shift = at - left - (np.cumsum(size) - size)
+    return left, size, data[np.arange(size.sum()) + np.repeat(shift, size)]
 
 
 def text_key(text: bytes) -> tuple[int, int]:
@@ -134,16 +138,30 @@ def _anchor_rows(batches, places: bool):
 
 
 def _edge_contexts(batches):
-    """Rows of (text, at[], q[], c[]) to the contexts of these anchors."""
+    """Rows of (text, at[], q[], c[]) to the contexts of these anchors, in batches of bounded size."""
+
+    def batch_of(parts):
+        q, c, left, size, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+        offsets = np.zeros(len(size) + 1, np.int32)
+        np.cumsum(size, out=offsets[1:])
+        raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(left.astype(np.int32)), raw], ["q", "c", "left", "raw"])
+
+    release_memory()
     for batch in batches:
-        out = ([], [], [], [])
+        first = batch.column(1).offsets.to_numpy()
+        at, q, c = (batch.column(i).values.to_numpy() for i in (1, 2, 3))
+        parts, n = [], 0
         for r, part in _each(batch, 0):
-            text = part.tobytes()
-            for at, q, c in zip(batch.column(1)[r].as_py(), batch.column(2)[r].as_py(), batch.column(3)[r].as_py(), strict=True):
-                left, raw = context(text, at)
-                for x, y in zip(out, (q, c, left, raw), strict=True):
-                    x.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["q", "c", "left", "raw"])
+            for lo in range(first[r], first[r + 1], EDGES):
+                some = slice(lo, min(lo + EDGES, first[r + 1]))
+                parts.append((q[some], c[some], *context_bytes(part, at[some])))
+                n += some.stop - lo
+                if n >= EDGES:
+                    yield batch_of(parts)
+                    parts, n = [], 0
+        if parts:
+            yield batch_of(parts)
 
 
 def _string_ids(q: np.ndarray, left: np.ndarray, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
