@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SPACED, Words, bounded, row_groups, stored, table, text_buffers
+from sparkloom.llm.common import SPACED, Words, bounded, release_memory, row_groups, stored, table, text_buffers
 
 SHRINKAGE, TEMPERATURE, THRESHOLD, FOLDS = 0.1, 4.0, 0.3, 5
 _KIND = np.zeros(256, np.int64)  # 0: other symbols
@@ -98,16 +98,29 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def fit(rows: DataFrame, labels: DataFrame) -> Discriminant | None:
-    """rows: doc_id, x. What reaches the driver is two classes' moments, whatever the number of rows."""
+def trainable(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): the rounded mean of a document's labels, where it is one of the two classes."""
     label = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("quality"))
-    train = rows.where(~held_out()).join(label.where("quality in (0, 1)"), "doc_id").select("quality", "x")
+    return label.where("quality in (0, 1)")
+
+
+def _vectors(column) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, STATISTICS)
+
+
+def _text_vectors(column) -> np.ndarray:
+    return statistics(*text_buffers(column))
+
+
+def learned(train: DataFrame, vectors=_vectors) -> Discriminant | None:
+    """train: quality, and what `vectors` makes statistics of. What reaches the driver is two classes' moments, whatever the number of rows."""
 
     def moments(batches):
+        release_memory()
         n, outer = np.zeros(2), np.zeros((2, STATISTICS + 1, STATISTICS + 1))
         for b in batches:
             q = b.column(0).to_numpy()
-            x = np.column_stack((np.ones(len(q)), b.column(1).flatten().to_numpy().reshape(-1, STATISTICS)))
+            x = np.column_stack((np.ones(len(q)), vectors(b.column(1))))
             for k in (0, 1):
                 n[k] += (q == k).sum()
                 outer[k] += x[q == k].T @ x[q == k]
@@ -124,6 +137,11 @@ def fit(rows: DataFrame, labels: DataFrame) -> Discriminant | None:
     return Discriminant.fit(outer[:, 0, 0], outer[:, 0, 1:], outer[:, 1:, 1:])
 
 
+def fit(rows: DataFrame, labels: DataFrame) -> Discriminant | None:
+    """rows: doc_id, x."""
+    return learned(rows.where(~held_out()).join(trainable(labels), "doc_id").select("quality", "x"))
+
+
 def statistics_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_statistic_rows, "doc_id long, x array<double>")
 
@@ -148,9 +166,8 @@ def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts are scored like others, repeated rows and null doc_ids are kept or go each by its text; without labels of both
     classes all rows stay; an empty table gives no rows.
     """
-    known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_labelled")).distinct()
-    learn = docs.where(~held_out()).select("doc_id", "text").join(bounded(known), F.col("doc_id") == F.col("_labelled"), "left_semi")
-    model = fit(statistics_of(learn), labels)
+    learn = docs.where(~held_out()).select("doc_id", "text").join(bounded(trainable(labels)), "doc_id").select("quality", "text")
+    model = learned(learn, _text_vectors)  # in one pass of Python, so that a task keeps one worker
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:

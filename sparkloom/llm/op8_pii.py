@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm.common import table
+from sparkloom.llm.common import release_memory, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("none", *KINDS)
@@ -339,6 +339,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     model = potentials()
 
     def run(batches):
+        release_memory()  # what earlier stages' tasks left
         for batch in batches:
             at = batch.schema.get_field_index("text")
             old = [x.as_py() for x in batch.column(at)]
