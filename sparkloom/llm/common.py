@@ -75,14 +75,16 @@ def discard(*dfs: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Tables of fixed width are broadcast up to this many bytes; beyond it, they are shuffled.
+#: Tables of fixed width are broadcast up to this many bytes of the hash table that the driver builds; beyond it, they are shuffled.
 BROADCAST_BYTES = 16 << 20
-_WIDTHS = {"bigint": 8, "double": 8, "int": 4, "boolean": 1, "binary": 16}
+_WIDTHS = {"binary": 24}
+#: Of each row beside its columns: headers (24), the key once more (at most 32), slots in an array at most a quarter full (64).
+_ROW_BYTES = 120
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """`df`, to be broadcast if its counted rows are few enough; binary columns are 128-bit keys."""
-    width = 8 + sum(_WIDTHS.get(kind, 64) for _, kind in df.dtypes)
+    """`df`, to be broadcast if the hash table of its counted rows is small enough; binary columns are 128-bit keys."""
+    width = _ROW_BYTES + sum(_WIDTHS.get(kind, 64 if kind == "string" else 8) for _, kind in df.dtypes)
     return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 

@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sparkloom.llm import op1_quality, op2_html, op3_topk, op4_chat, op5_suffix, op6_minhash, op7_packing, op8_pii, op9_licenses, op10_decontaminate
+from sparkloom.llm import common, op1_quality, op2_html, op3_topk, op4_chat, op5_suffix, op6_minhash, op7_packing, op8_pii, op9_licenses, op10_decontaminate
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, n long, p long"
 SF = "/root/testdata/sf0.001"
@@ -76,6 +77,44 @@ def test_near_duplicates(docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id in (0, 1, 2)").count() == 1
 
 
+def broadcast_sizes(df):
+    """Bytes of the hash tables that the driver builds to run df."""
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+    df._jdf.queryExecution().toRdd().count()
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("BroadcastExchange"):
+            out.append(node.metrics().apply("dataSize").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+@pytest.fixture
+def static_plans(spark):
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("rows", [50_000, 131_072, 1_000_000])
+def test_bounded_broadcast_of_ids(spark, static_plans, rows):
+    """The driver's hash table of ids stays within the bound, not only the columns it is made of."""
+    docs = spark.range(10).toDF("doc_id")
+
+    def sizes(ids):
+        return broadcast_sizes(docs.join(ids, docs["doc_id"].eqNullSafe(ids["_rep"]), "left_semi"))
+
+    (page,) = sizes(F.broadcast(spark.range(1).toDF("_rep")))  # memory comes in pages, which grow with the driver's
+    got = sizes(common.bounded(spark.range(rows).toDF("_rep")))
+    assert len(got) == 1 or rows > 131_072
+    assert all(x <= common.BROADCAST_BYTES + page for x in got)
+
+
 def test_hot_posts_lose_no_link(spark):
     """Many different near copies and many texts with one passage: posts are divided, links stay."""
     g = random.Random(7)
