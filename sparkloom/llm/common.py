@@ -85,7 +85,12 @@ _ROW_BYTES = 120
 def bounded(df: DataFrame) -> DataFrame:
     """`df`, to be broadcast if the hash table of its counted rows is small enough; binary columns are 128-bit keys."""
     width = _ROW_BYTES + sum(_WIDTHS.get(kind, 64 if kind == "string" else 8) for _, kind in df.dtypes)
-    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df`, to be shuffled in a join. Else Spark broadcasts what is small as compressed files or rows, of which the driver's hash table takes many times as much."""
+    return df.hint("merge")
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -97,12 +102,13 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct())
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        near = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("near"))
+        few = bounded(labels)
+        near = both.join(few.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        near = few.join(near, "node").select("node", "label", F.least("label", "near").alias("near"))
         # hook: a node's old label learns of the smaller one
         hooks = near.where("near < label").groupBy(F.col("label").alias("node")).agg(F.min("near").alias("hook"))
-        hooked = stored(near.join(hooks, "node", "left").select("node", "label", F.least("near", F.coalesce("hook", "near")).alias("near")))
-        jump = hooked.select(F.col("node").alias("near"), F.col("near").alias("up"))
+        hooked = stored(near.join(shuffled(hooks), "node", "left").select("node", "label", F.least("near", F.coalesce("hook", "near")).alias("near")))
+        jump = bounded(hooked.select(F.col("node").alias("near"), F.col("near").alias("up")))
         new = stored(hooked.join(jump, "near", "left").select("node", F.col("label").alias("old"), F.least("near", F.coalesce("up", "near")).alias("label")))
         discard(hooked, labels)
         labels = new.select("node", "label")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from sparkloom.llm.common import SPACED, Words, bounded, connected, discard, fresh, mix, release_memory, row_groups, shingle_hashes, stored, table, text_buffers
+from sparkloom.llm.common import SPACED, Words, bounded, connected, discard, fresh, mix, release_memory, row_groups, shingle_hashes, shuffled, stored, table, text_buffers
 
 COORDS, MIN_MATCHES = 31, 12
 #: Bits of an odd sketch.
@@ -147,7 +147,7 @@ def prefix_posts(classes: DataFrame) -> DataFrame:
     """
     post = classes.select("node", F.posexplode("sig").alias("c", "v")).select("node", "c", post_number().alias("p"))
     shared = post.groupBy("p").agg(F.count("*").alias("size")).where("size > 1")
-    lists = post.join(shared, "p").groupBy("node").agg(
+    lists = post.join(shuffled(shared), "p").groupBy("node").agg(
         F.sort_array(F.collect_list(F.struct("size", "p", "c"))).alias("l"),  # at most COORDS each
         F.sum((16 * F.log2("size")).cast("long")).alias("score"),
     )
@@ -161,7 +161,7 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     y = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("odd").alias("ob"))
     each = lambda x: [F.get(x, F.lit(i)) for i in range(PARITIES // 64)]
     ok = size_fits(F.col("na"), F.col("nb")) & (matches(F.col("sa"), F.col("sb")) >= MIN_MATCHES) & sketches_allow(each("oa"), each("ob"), F.col("na"), F.col("nb"))
-    return pairs.join(x, "a").join(y, "b").where(ok).select("a", "b", "p", "k")
+    return pairs.join(shuffled(x), "a").join(shuffled(y), "b").where(ok).select("a", "b", "p", "k")
 
 
 def _links(batches):
@@ -213,7 +213,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     part = lambda x: F.pmod(F.xxhash64(x), F.col("k"))
     pairs = pairs.select("a", "b", F.xxhash64("p", part("a"), part("b")).alias("block"))
     need = pairs.select("block", F.col("a").alias("node")).unionByName(pairs.select("block", F.col("b").alias("node"))).distinct()
-    need = stored(need.join(classes.select("node", "key", "rep"), "node"))
+    need = stored(need.join(bounded(classes.select("node", "key", "rep")), "node"))
     few = bounded(need.select(F.col("rep").alias("_rep")).distinct())
     texts = docs.join(few, docs["doc_id"].eqNullSafe(few["_rep"]), "left_semi").select("doc_id", "text")
     # a repeated doc_id may bring other texts along, or one twice: sets are found by key, and one of each is held
@@ -237,30 +237,30 @@ def components(docs: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    post = stored(prefix_posts(classes).join(classes.select("node", "n"), "node"))
+    post = stored(prefix_posts(classes).join(bounded(classes.select("node", "n")), "node"))
     parts = F.ceil(F.sum("n") / BLOCK).alias("k")
 
     # star round
     hubs = post.groupBy("p").agg(F.count("*").alias("size"), F.max(F.struct("score", "node"))["node"].alias("hub"), parts).where("size > 1").drop("size")
-    star = post.join(hubs, "p").where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.min(F.struct("p", "k")).alias("m"))
+    star = post.join(shuffled(hubs), "p").where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.min(F.struct("p", "k")).alias("m"))
     star = stored(plausible(star.select("a", "b", "m.p", "m.k"), classes))
     links = confirmed(docs, classes, star)
     first = connected(links)
 
     # rest: members of one post in different components
-    named = post.join(first, "node", "left").select("node", "n", "c", "p", F.coalesce("label", "node").alias("comp"))
+    named = post.join(bounded(first), "node", "left").select("node", "n", "c", "p", F.coalesce("label", "node").alias("comp"))
     by_comp = named.groupBy("p", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
     mixed = by_comp.groupBy("p").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp"))["comp"].alias("main"), parts).where("comps > 1").drop("comps")
-    active = stored(named.join(mixed, "p"))
+    active = stored(named.join(shuffled(mixed), "p"))
     posts = active.groupBy("node").agg(F.sort_array(F.collect_list("p")).alias("posts"))  # at most a prefix
-    of_node = posts.join(classes.select("node", *packed("sig"), *parities("odd")), "node")
-    member = active.join(of_node, "node").withColumn("before", F.expr("slice(posts, 1, int(array_position(posts, p)) - 1)")).drop("posts")
+    of_node = posts.join(shuffled(classes.select("node", *packed("sig"), *parities("odd"))), "node")
+    member = active.join(shuffled(of_node), "node").withColumn("before", F.expr("slice(posts, 1, int(array_position(posts, p)) - 1)")).drop("posts")
     a, b = member.where("comp <> main").alias("a"), member.alias("b")
     once = ~F.arrays_overlap("a.before", "b.before")  # of the posts that both have, the first one pairs them
     other = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
     bits = lambda side: [F.col(f"{side}.o{i}") for i in range(PARITIES // 64)]
     alike = size_fits(F.col("a.n"), F.col("b.n")) & (packed_matches() >= MIN_MATCHES) & sketches_allow(bits("a"), bits("b"), F.col("a.n"), F.col("b.n"))
-    pair = a.join(b, (F.col("a.p") == F.col("b.p")) & other & alike & once)
+    pair = a.join(shuffled(b), (F.col("a.p") == F.col("b.p")) & other & alike & once)
     rest = stored(pair.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.p").alias("p"), F.col("a.k").alias("k")))
     discard(star, post, active)
     nodes = first
@@ -270,10 +270,10 @@ def components(docs: DataFrame) -> DataFrame:
             nodes = connected(links.unionByName(more))
     discard(rest)
 
-    named = classes.select("key", "node", "rep").join(nodes, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("label"))
+    named = classes.select("key", "node", "rep").join(bounded(nodes), "node", "left").select("key", "rep", F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_key = stored(named.join(ids, "label").select("key", "label", "component_id"))
-    out = rows.where("n > 0").select("doc_id", "key", F.col("n").alias("n_shingles")).join(of_key, "key")
+    of_key = stored(named.join(shuffled(ids), "label").select("key", "label", "component_id"))
+    out = rows.where("n > 0").select("doc_id", "key", F.col("n").alias("n_shingles")).join(bounded(of_key), "key")
     empty = rows.where("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -311,12 +311,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     several = found.groupBy("doc_id").agg(F.count("*").alias(n)).where((F.col(n) > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias(kept_id))
     several = stored(several)
     same = F.col("doc_id").eqNullSafe(F.col(kept_id))
-    kept = docs.join(keep, same, "left_semi")
+    kept = docs.join(shuffled(keep), same, "left_semi")
     if several.isEmpty():
         return kept
+    several = bounded(several)
     once = kept.join(several, same, "left_anti")
     keyed = with_keys(docs.join(several, same, "left_semi"), key)
     mine = found.where("kept and key is not null").select(F.col("doc_id").alias(kept_id), F.col("key").alias(kept_key), F.col("label").alias(label)).distinct()
     first = Window.partitionBy(label).orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    best = keyed.join(mine, same & (F.col(key) == F.col(kept_key))).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+    best = keyed.join(shuffled(mine), same & (F.col(key) == F.col(kept_key))).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
     return once.unionByName(keyed.where(F.col(key).isNull()).select(docs.columns)).unionByName(best.select(docs.columns))
