@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sparkloom.errors import QueryError
 from sparkloom.functions.filters import parse_value, predicate
 from sparkloom.operators.merged import having_text
+from sparkloom.operators.quantiles import aggregated
 from sparkloom.operators.single import SingleQuery, ordered, parse_order, walk
 from sparkloom.plans.project import FORMULAS, REFERENCE, Field
 
@@ -127,11 +128,10 @@ def one(engine, m: Field, dims: list[Field], where: list, rest: dict) -> DataFra
         on_rows = any(f"{v}." in test for v in (q.base, *(e.right for e in q.joins)))
         partial = rows if on_rows or not all(a.type in PARTIAL for a in parts) else per_period(rows, keys, parts)
         met = partial.join(F.broadcast(periods), F.expr(f"__t <= period AND ({test})"))  # the spine has a fixed number of days
-        of = aggregate if partial is rows else total
-        out = met.groupBy(*keys, "period").agg(*[of(a, i).alias(f"__v{i}") for i, a in enumerate(parts)])
+        out = over_rows(met, [*keys, "period"], parts) if partial is rows else met.groupBy(*keys, "period").agg(*[total(a, i).alias(f"__v{i}") for i, a in enumerate(parts)])
     elif time is None:
         now = F.lit(f"{engine.now():%Y-%m-%d}").cast("timestamp_ntz")
-        out = rows.where(F.col("__t") <= now).groupBy(*keys).agg(*[aggregate(a, i).alias(f"__v{i}") for i, a in enumerate(parts)])
+        out = over_rows(rows.where(F.col("__t") <= now), keys, parts)
     else:
         bounds = periods.agg(F.min("period").alias("__lo"), F.max("period").alias("__hi"))  # one row
         inside = rows.crossJoin(F.broadcast(bounds)).where("__t <= __hi").withColumn("__t", F.greatest("__t", "__lo")).drop("__lo", "__hi")
@@ -146,12 +146,13 @@ def one(engine, m: Field, dims: list[Field], where: list, rest: dict) -> DataFra
 PARTIAL = ("sum", "count", "average", "min", "max")
 
 
-def aggregate(a: Field, i: int):
-    """Measure number i over rows."""
-    kinds = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "average": F.avg, "count_distinct": F.count_distinct, "median": F.median}
-    if a.type not in kinds:
-        raise QueryError(f"{a.id}: a {a.type} can't be cumulative")
-    return kinds[a.type](F.col(f"__x{i}"))
+def over_rows(rows: DataFrame, by: list[str], parts: list[Field]) -> DataFrame:
+    """The measures over rows, as __v0, __v1, ..."""
+    kinds = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "average": F.avg, "count_distinct": F.count_distinct}
+    if bad := next((a for a in parts if a.type not in (*kinds, "median")), None):
+        raise QueryError(f"{bad.id}: a {bad.type} can't be cumulative")
+    aggregates = [kinds[a.type](F.col(f"__x{i}")).alias(f"__v{i}") for i, a in enumerate(parts) if a.type in kinds]
+    return aggregated(rows, [F.col(k) for k in by], by, aggregates, {f"__v{i}": (f"__x{i}", 0.5) for i, a in enumerate(parts) if a.type == "median"})
 
 
 def total(a: Field, i: int):

@@ -23,6 +23,7 @@ class Scope:
     query_attributes: dict = field(default_factory=dict)
     markers: dict[tuple[str, ...], str] = field(default_factory=dict)  # partition columns -> first-row marker
     windows: dict[tuple[str, str, tuple[str, ...]], str] = field(default_factory=dict)  # (function, date, partition) -> column
+    quantiles: dict[tuple[str, float], str] = field(default_factory=dict)  # (values, fraction) -> column
     dimension_fields: list[Field] = field(default_factory=list)
     overrides: dict[str, str] = field(default_factory=dict)  # field id -> SQL, instead of its own
 
@@ -166,11 +167,14 @@ class Scope:
             mark = self.marker(key) if len(m.views()) == 1 else self.marker(key, x)
             one = f"CASE WHEN `{mark}` = 1 AND {key} IS NOT NULL THEN {x} END"
             return f"COALESCE(SUM({one}), 0)" if kind == "sum" else f"AVG({one})"
-        simple = {"count": "COUNT({})", "count_distinct": "COUNT(DISTINCT {})", "sum": "SUM({})", "average": "AVG({})", "min": "MIN({})", "max": "MAX({})", "median": "MEDIAN({})"}
+        simple = {"count": "COUNT({})", "count_distinct": "COUNT(DISTINCT {})", "sum": "SUM({})", "average": "AVG({})", "min": "MIN({})", "max": "MAX({})"}
         if kind in simple:
             return simple[kind].format(x)
-        if kind == "percentile":
-            return f"PERCENTILE_CONT({float(d['percentile']) / 100}) WITHIN GROUP (ORDER BY {x})"
+        if kind in ("median", "percentile"):
+            fraction = 0.5 if kind == "median" else float(d["percentile"]) / 100
+            if not 0 <= fraction <= 1:
+                raise QueryError(f"the percentile of {m.id} must lie between 0 and 100")
+            return f"MAX(`{self.quantiles.setdefault((x, fraction), f'__q{len(self.quantiles)}')}`)"
         raise QueryError(f"unknown measure type {kind} of {m.id}")
 
 

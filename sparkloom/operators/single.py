@@ -12,6 +12,7 @@ from pyspark.sql.utils import AnalysisException
 
 from sparkloom.errors import QueryError
 from sparkloom.functions.filters import parse_value, predicate
+from sparkloom.operators.quantiles import aggregated, with_quantiles
 from sparkloom.operators.render import Scope, window_column
 from sparkloom.plans.joins import protected_views
 from sparkloom.plans.project import REFERENCE, Field, as_list
@@ -292,12 +293,14 @@ class SingleQuery:
         """Aggregates the metrics, and `extra` ones that later filters or sorts need."""
         metrics = [(m.column, self.scope.aggregate(m)) for m in {m.id: m for m in (*self.metrics, *extra)}.values()]
         df = self.helpers(df)
-        by = [F.expr(self.scope.row(d)).alias(d.column) for d in self.dims] + [F.expr(strip_alias(r)).alias(alias_of(r)) for r in self.raw]
+        by = {**{d.column: F.expr(self.scope.row(d)) for d in self.dims}, **{alias_of(r): F.expr(strip_alias(r)) for r in self.raw}}
+        own = {f"MAX(`{c}`)": q for q, c in self.scope.quantiles.items()}  # metrics that are a quantile, not made of some
         try:
             if not metrics:
-                return df.select(*by).distinct()
-            aggregates = [F.expr(sql).alias(name) for name, sql in metrics]
-            return df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
+                return df.select(*[c.alias(n) for n, c in by.items()]).distinct()
+            rest = [(name, sql) for name, sql in metrics if sql not in own]
+            df = with_quantiles(df, list(by.values()), {c: q for q, c in self.scope.quantiles.items() if any(f"`{c}`" in sql for _, sql in rest)})
+            return aggregated(df, list(by.values()), list(by), [F.expr(sql).alias(name) for name, sql in rest], {name: own[sql] for name, sql in metrics if sql in own})
         except AnalysisException as e:
             raise QueryError(str(e).split("\n")[0]) from e
 

@@ -121,3 +121,33 @@ def test_errors(spark):
 def test_filters_reach_the_scan(spark):
     plan = engine(spark, SF).explain(metrics=["lineitem.revenue"], dimensions=["lineitem.returnflag"], where=[{"field": "lineitem.quantity", "expression": "greater_than", "value": 25}])
     assert "GreaterThan(l_quantity,25.0)" in plan and "l_comment" not in plan
+
+
+def test_quantiles_are_exact_and_dealt_out(spark):
+    """The same values as Spark's own functions, which take a group's values into one task, and none of these in the plan."""
+    sql = """
+        SELECT id, g, if(g = 'nulls', null, v) v, cast(v AS decimal(20, 3)) d, cast(cast(v AS decimal(20, 3)) AS string) s, make_dt_interval(0, 0, 0, round(v)) i, timestamp_ntz'1998-08-01 00:00:00' + make_dt_interval(cast(id % 9 AS int)) t FROM (
+            SELECT id, CASE WHEN id < 20000 THEN 'large' WHEN id < 21000 THEN 'ties' WHEN id < 21002 THEN 'two' WHEN id < 21003 THEN 'one' WHEN id < 21010 THEN 'nulls' WHEN id < 21100 THEN 'nan' END g,
+                CASE WHEN id < 20000 THEN round((xxhash64(id) % 1000000) / 7, 3) * if(id % 10 = 0, 1e6, 1) WHEN id < 21000 THEN id % 3 WHEN id >= 21010 AND id % 2 = 0 THEN null ELSE id * 0.25 END v FROM range(21200))
+        UNION ALL SELECT 30000, 'nan', double('nan'), null, null, null, null"""
+    rows = spark.sql(sql).localCheckpoint()
+    field = lambda n, t, x, **more: {"name": n, "field_type": "measure", "type": t, "sql": x, **more}
+    measures = [field(f"{c}{p}", "percentile", f"${{TABLE}}.{c}", percentile=p) for c in "vsi" for p in (1, 99)] + [field(f"{c}50", "median", f"${{TABLE}}.{c}") for c in "vdsi"]
+    spread = field("spread", "number", "${v99} - ${v50} + count(${TABLE}.v) + nullif(${d50}, 0)")
+    running = {"name": "running", "field_type": "measure", "type": "cumulative", "measure": "v50"}
+    view = {"name": "a", "sql_table_name": "a", "default_date": "t", "fields": [{"name": "id", "field_type": "dimension", "type": "number", "sql": "${TABLE}.id", "primary_key": True}, {"name": "g", "field_type": "dimension", "sql": "${TABLE}.g"}, {"name": "t", "field_type": "dimension_group", "type": "time", "sql": "${TABLE}.t"}, *measures, spread, running]}
+    e = Engine(spark, Project([{"name": "m"}], [view]), lambda _: rows, clock=lambda: NOW)
+    names = [f"a.{m['name']}" for m in measures] + ["a.spread"]
+    own = lambda c, p: f"percentile({c}, {p / 100!r}D)"
+    columns = ", ".join(f"{own(m['name'][0], m.get('percentile', 50))} a_{m['name']}" for m in measures)
+    spread = f"{own('v', 99)} - {own('v', 50)} + count(v) + nullif({own('d', 50)}, 0) a_spread"
+    text = lambda df: sorted(str(r) for r in df.collect())
+    rows.createOrReplaceTempView("quantile_rows")
+    assert text(e.query(names, ["a.g"])) == text(spark.sql(f"SELECT g a_g, {columns}, {spread} FROM quantile_rows GROUP BY 1"))
+    assert text(e.query(names)) == text(spark.sql(f"SELECT {columns}, {spread} FROM quantile_rows"))
+    assert text(e.query(["a.v50"], where=["${a.id} < 0"])) == ["Row(a_v50=None)"]
+    assert text(e.query(["a.running"], ["a.g"])) == text(spark.sql("SELECT g a_g, median(v) a_running FROM quantile_rows WHERE t IS NOT NULL GROUP BY 1"))
+    high = e.query(["a.v50"], ["a.g"], having=[{"field": "a.v99", "expression": "greater_than", "value": 5000}])
+    assert text(high) == text(spark.sql(f"SELECT g a_g, median(v) a_v50 FROM quantile_rows GROUP BY 1 HAVING {own('v', 99)} > 5000"))
+    for request in ({"metrics": ["a.v50", "a.v99", "a.d50"]}, {"metrics": ["a.spread"]}, {"metrics": ["a.running"]}):
+        assert "percentile(" not in e.explain(**request, dimensions=["a.g"])
